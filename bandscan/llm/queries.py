@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from bandscan.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,7 +22,25 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.chat import digests, formatted
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "if(id = 0, 'user', 'assistant') AS role", r"r'\### Assistant: </turn> ok' AS text")
+    return digests(formatted(turns.unionByName(planted)))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from bandscan.llm.byte_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN)
+
+
 def queries() -> dict:
     return {
+        "op2_chat_format": op2_chat_format,
         "op5_token_counts": op5_token_counts,
+        "op7_byte_bpe": op7_byte_bpe,
     }

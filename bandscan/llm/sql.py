@@ -1,5 +1,27 @@
 """DuckDB SQL for the llm queries that SQL can express over whole tables."""
 
+#: How many characters the chat template adds to a text, and to a role.
+_RUNS = "coalesce(list_sum(list_transform(regexp_extract_all({0}, '#{{3,}}'), lambda x: len(x) - 2)), 0)"
+_TEXT_ADDS = "(2 * length({0}) - length(replace({0}, '\\', '')) - length(replace({0}, '</turn>', '/turn>'))) + " + _RUNS
+_ROLE_ADDS = _TEXT_ADDS + " + length({0}) - length(replace({0}, ':', '')) + CASE WHEN regexp_matches({0}, '^[A-Z]') THEN 1 ELSE 0 END"
+
+OP2 = rf"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (
+  SELECT *, 14 + length(role) + length(text) + {_ROLE_ADDS.format("role")} + {_TEXT_ADDS.format("text")} AS n FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_chat_format": OP2,
+    }
