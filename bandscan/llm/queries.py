@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bandscan.llm.common import table
 
@@ -16,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.license_scan import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandscan.llm.token_count import token_counts
 
@@ -38,9 +45,18 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_RANKS), public_tokenizers.PATTERN)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.decontam import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
+
+
 def queries() -> dict:
     return {
         "op2_chat_format": op2_chat_format,
+        "op3_license_scan": op3_license_scan,
         "op5_token_counts": op5_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_decontamination": op8_decontamination,
     }

@@ -21,7 +21,59 @@ FROM f GROUP BY conv_id
 """
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _lower(text: str) -> str:
+    return f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op3() -> str:
+    from bandscan.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD
+
+    templates = ", ".join(f"('{k}', list_distinct(string_split('{v}', ' ')))" for k, v in TEMPLATES.items())
+    phrases = ", ".join(f"('{v}', string_split('{k}', ' '))" for k, v in PHRASES.items())
+    return rf"""
+WITH tpl(label, tokens) AS (VALUES {templates}),
+phrase(label, said) AS (VALUES {phrases}),
+d AS (SELECT doc_id, {_lower("text")} AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS w FROM d),
+pos AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w),
+hit AS (SELECT doc_id, i, label FROM pos, phrase WHERE w[i + 1 : i + len(said)] = said),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list(DISTINCT label)) AS labels FROM hit GROUP BY doc_id),
+line AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}')) AS b FROM d),
+carry AS (SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS s FROM line, tpl
+  WHERE len(list_intersect(b, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) GROUP BY doc_id, label),
+more AS (SELECT doc_id, list(label) AS labels, max(s) AS s FROM carry GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ','), '') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(more.s, 0)::DOUBLE END AS score
+FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+OP8 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS w FROM benchmark),
+win AS (
+  SELECT item_id, 10 AS n, unnest(list_transform(range(1, len(w) - 8), lambda k: array_to_string(w[k : k + 9], ' '))) AS x FROM i WHERE len(w) >= 10
+  UNION ALL SELECT item_id, len(w), array_to_string(w, ' ') FROM i WHERE len(w) BETWEEN 1 AND 9),
+size AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, size WHERE len(w) >= n),
+hit AS (SELECT doc_id, k, spot.n, item_id FROM spot JOIN win ON spot.n = win.n AND array_to_string(w[k : k + spot.n - 1], ' ') = x),
+agg AS (
+  SELECT doc_id, len(list_distinct(flatten(list(range(k, k + n))))) AS n_hit,
+    list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN agg USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": OP2,
+        "op3_license_scan": _op3(),
+        "op8_decontamination": OP8,
     }
