@@ -52,6 +52,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.toxicity import fit, scored
+
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
     return {
         "op2_chat_format": op2_chat_format,
@@ -59,4 +66,5 @@ def queries() -> dict:
         "op5_token_counts": op5_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_decontamination": op8_decontamination,
+        "op10_toxicity": op10_toxicity,
     }
