@@ -29,6 +29,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.pii import pseudonymised
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymised(docs, count_col="n_found")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandscan.llm.chat import digests, formatted
 
@@ -61,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_pii": op1_pii,
         "op2_chat_format": op2_chat_format,
         "op3_license_scan": op3_license_scan,
         "op5_token_counts": op5_token_counts,
