@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch between the JVM and Python; texts are a few kB, so a batch is a few MB.
-ARROW_ROWS = 2000
+ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
 #: The word patterns of the contracts, as Java and Python regular expressions.
 WORD_ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,6 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the input folder; small Arrow batches for what follows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

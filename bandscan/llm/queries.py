@@ -23,6 +23,12 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandscan.llm.token_count import token_counts
 
@@ -71,6 +77,7 @@ def queries() -> dict:
         "op1_pii": op1_pii,
         "op2_chat_format": op2_chat_format,
         "op3_license_scan": op3_license_scan,
+        "op4_near_duplicates": op4_near_duplicates,
         "op5_token_counts": op5_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_decontamination": op8_decontamination,

@@ -53,6 +53,22 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
+OP4 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_lower("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+two AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM two UNION SELECT r.a, t.b FROM reach r JOIN two t ON r.b = t.a),
+comp AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(comp.b, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(comp.b, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.a = w.doc_id
+"""
+
+
 OP8 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS w FROM benchmark),
@@ -75,5 +91,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": OP2,
         "op3_license_scan": _op3(),
+        "op4_near_duplicates": OP4,
         "op8_decontamination": OP8,
     }
