@@ -65,6 +65,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("items_sha256", F.sha2(F.array_join("items", ","), 256)).drop("items")
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.repeats import repeat_digests
+
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from bandscan.llm.toxicity import fit, scored
 
@@ -81,5 +87,6 @@ def queries() -> dict:
         "op5_token_counts": op5_token_counts,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_decontamination": op8_decontamination,
+        "op9_repeats": op9_repeats,
         "op10_toxicity": op10_toxicity,
     }
