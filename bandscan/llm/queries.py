@@ -50,6 +50,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(formatted(turns.unionByName(planted)))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from bandscan.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,6 +91,7 @@ def queries() -> dict:
         "op3_license_scan": op3_license_scan,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_token_counts": op5_token_counts,
+        "op6_top_k": op6_top_k,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_decontamination": op8_decontamination,
         "op9_repeats": op9_repeats,

@@ -69,6 +69,16 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.a = w.doc_id
 """
 
 
+OP6 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q, e c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 OP8 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_lower("text")}, '{_WORD}') AS w FROM benchmark),
@@ -92,5 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": OP2,
         "op3_license_scan": _op3(),
         "op4_near_duplicates": OP4,
+        "op6_top_k": OP6,
         "op8_decontamination": OP8,
     }
