@@ -174,6 +174,15 @@ def decoded(tokens: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_
     return tokens.select(id_col, ids_col).mapInArrow(by_batch(run), f"`{id_col}` {tokens.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
+def _checked(code: ByteCodec, ids: bytes) -> tuple:
+    return len(ids) // 4, ids, hashlib.sha256(code.decode(ids)).hexdigest()
+
+
+def tokenised(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """(id, n_tokens, ids, decoded_sha256): the identifiers, and a digest of the bytes they decode to."""
+    return _apply(docs, _checked, "n_tokens long, ids binary, decoded_sha256 string", rank_file, pattern, id_col, text_col, chunk, overlap)
+
+
 def _digests(code: ByteCodec, ids: bytes) -> tuple:
     return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(code.decode(ids)).hexdigest()
 

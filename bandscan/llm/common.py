@@ -21,10 +21,15 @@ WORD_SPACE = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder; small Arrow batches for what follows."""
+def tuned(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a worker's memory does not depend on how long texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder."""
+    tuned(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -65,12 +65,11 @@ def prefixed(docs: DataFrame, wins: DataFrame, single: bool, small: bool) -> Dat
     return ranked.where("p.n > 0").select("win", "items", F.col("p.key").alias("key"), F.col("p.off").alias("off"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items, contaminated) for each document."""
+def hits(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, h, n_hit, items) of the documents with some hit; h is a hash of the text."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    worded = texts.select("id", "h", words(F.col("text")).alias("words"))
+    worded = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words(F.col(text_col)).alias("words"))
     wins = stored(item_windows(items, item_col, item_text_col, size), folder, "windows")
     facts = wins.agg(F.coalesce(F.sum(F.length(F.array_join("win", " ")) + 8 * F.size("items") + 64), F.lit(0)).alias("bytes"), F.coalesce(F.bool_or(F.size("win") == 1), F.lit(False)).alias("single")).first()
     small = facts["bytes"] <= broadcast_bytes
@@ -78,12 +77,23 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     removed(spark, f"{folder}/windows")
     found = positions(worded, facts["single"]).join(F.broadcast(wins) if small else wins, "key")
     found = found.where("pos >= off AND pos - off + size(win) <= size(words)").where("slice(words, pos - off + 1, size(win)) = win")
-    hits = found.groupBy("id", "h").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(pos - off, pos - off + size(win) - 1)"))))).alias("hit"),
+    return found.groupBy("id", "h").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(pos - off, pos - off + size(win) - 1)"))))).cast("long").alias("n_hit"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    every = texts.select("id", "h", F.regexp_count(ascii_lower(F.col("text")), F.lit(WORD_ALNUM)).cast("long").alias("n_words"))
-    hits = hits.select(F.col("id").alias("hid"), F.col("h").alias("hh"), "hit", "items")
-    out = every.join(hits, F.expr("id <=> hid AND h = hh"), "left")
-    n_hit = F.coalesce(F.col("hit"), F.lit(0)).cast("long")
+
+
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items, contaminated) for each document."""
+    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.regexp_count(ascii_lower(F.col(text_col)), F.lit(WORD_ALNUM)).cast("long").alias("n_words"))
+    found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
+    found = found.select(F.col("id").alias("hid"), F.col("h").alias("hh"), "n_hit", "items")
+    out = every.join(found, F.expr("id <=> hid AND h = hh"), "left")
+    n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), (n_hit > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, without any hit."""
+    found = hits(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__hid"), F.col("h").alias("__hh"))
+    return docs.join(found, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.xxhash64(text_col) == F.col("__hh")), "left_anti")

@@ -192,3 +192,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sigs.select("id", "n", "d1", "d2").join(tops, ["d1", "d2"], "left")
     comp = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, that are kept: of each component the one of smallest id, and those without an id."""
+    kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept")).where("__kept IS NOT NULL").distinct()
+    return docs.where(F.col(id_col).isNull()).unionAll(docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi"))
