@@ -30,7 +30,7 @@ def read_fasta(spark: SparkSession, path: str, headerless: str = "drop", glob: s
     body = F.when(F.col("is_first") & marked, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
     bare = F.col("is_first") & ~marked
     # text in front of the first record is a record of its own only without a header
-    header = F.when(~bare, F.rtrim(F.regexp_extract(body, r"^([^\n]*)", 1)))
+    header = F.when(~bare, F.regexp_extract(body, r"^([^\r\n]*)", 1))
     seq = F.when(bare, body).otherwise(F.regexp_extract(body, r"(?s)^[^\n]*\n?(.*)$", 1))
     rows = rows.select("path", "block", "id", bare.alias("bare"), header.alias("header"), F.regexp_replace(seq, r"[\r\n]", "").alias("seq"))
     rows = rows.where(F.length("seq") > 0)
