@@ -1,0 +1,219 @@
+"""Chat, PII, licenses, decontamination, toxicity and the pipeline on small fixtures."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from bandscan.llm import chat, decontam, license_scan, pii, toxicity
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(1)
+    bits = ["\\", "#", "##", "###", "</turn>", "</turn>\n", "### User: ", ": ", "\n", "é", "😀", "ok", "Assistant"]
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "User", "", None, "a: b", "\\x", "###"]), text()) for c in range(40) for t in range(rng.randint(1, 9))]
+    rows += [(50, None, "user", "first"), (50, 1, "assistant", "b"), (50, 1, "assistant", "a"), (50, 1, "assistant", "a"), (None, 1, "assistant", "x")]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, part int")
+    want = {}
+    for c, t, r, s in sorted(rows, key=lambda x: (str(x[0]), -1 if x[1] is None else x[1], x[2] or "", x[3] or "")):
+        want.setdefault(c, []).append((r or "", s or ""))
+    for size in (1 << 20, 30):
+        got = chat.digests(chat.formatted(df, part_bytes=size)).collect()
+        assert len(got) == len(want)
+        for g in got:
+            turns = want[g["conv_id"]]
+            said = [s for r, s in turns if r == "assistant"]
+            assert g["n_turns"] == len(turns) and g["turns_sha256"] == sha("".join(f"{r}\n{s}\n" for r, s in turns))
+            assert g["loss_chars"] == sum(map(len, said)) and g["loss_sha256"] == sha("".join(said))
+    assert chat.digests(chat.formatted(df.limit(0))).count() == 0
+
+
+def test_chat_mask_and_template():
+    out, at, lo, hi = chat.assembled(pa.array(["user", "assistant"]), pa.array(["a###b", r"\ok"]))
+    raw = out.tobytes()
+    assert raw == b"### User: a\\###b</turn>\n### Assistant: \\\\ok</turn>\n"
+    assert [raw[a:z] for a, z in zip(lo, hi)] == [b"a\\###b", rb"\\ok"]
+
+
+def luhn(n):
+    d = [int(c) for c in n if c.isdigit()][::-1]
+    return sum(x if k % 2 == 0 else x * 2 - 9 * (x > 4) for k, x in enumerate(d)) % 10 == 0
+
+
+def test_pii(spark):
+    card, near = "4111111111111111", "4111111111111112"
+    texts = [
+        "mail und.34@mail7.example.com ok", "again und.34@mail7.example.com and und.35@mail7.example.com", "+1 (017) 555-7713 rest", "ip 233.254.104.120, not 1.2.3.4.5 or 300.1.1.1",
+        f"{card} and {near}", "born 1984-02-29, not 1984-02-30; 25/12/1990", "DE89370400440532013000", "123-45-6789 000-12-3456", 'token = "b44e15e09fd311c3cf3163b66d5a9875b883d8ce" x',
+        None, "", "version 3.0 of 2 things, CC BY-NC 4.0.", "9" * 50 + " " + "a" * 20000 + "@",
+    ]
+    df = spark.createDataFrame([(k, t, 5) for k, t in enumerate(texts)], "doc_id long, text string, found int")
+    got = [r for r in pii.pseudonymised(df, count_col="n").orderBy("doc_id").collect()]
+    assert [r["n"] for r in got] == [1, 2, 1, 1, 1, 2, 1, 1, 1, 0, 0, 0, 0]
+    assert all(r["found"] == 5 for r in got)
+    shape = lambda s: re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", s)))
+    for t, r in zip(texts, got):
+        assert (t is None) == (r["text"] is None)
+        if t and "ip " not in t:
+            assert shape(t) == shape(r["text"])
+    first = re.search(r"\S+@\S+", got[0]["text"])[0]
+    assert first in got[1]["text"] and first != "und.34@mail7.example.com"
+    a, b = re.findall(r"\d{16}", got[4]["text"])
+    assert a != card and luhn(a) and b == near
+    assert "1.2.3.4.5 or 300.1.1.1" in got[3]["text"] and max(map(int, re.findall(r"\d+", got[3]["text"])[:4])) < 256
+    iban = got[6]["text"]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    with pytest.raises(ValueError):
+        pii.pseudonymised(df, key="a'b")
+
+
+def test_pii_is_a_bijection(spark):
+    days = spark.range(73170).select(F.expr("date_format(date_add(DATE'1900-01-01', cast(id AS int)), 'yyyy-MM-dd')").alias("text"))
+    out = pii.pseudonymised(days)
+    assert out.distinct().count() == 73170 and out.where("try_to_date(text, 'yyyy-MM-dd') IS NULL").isEmpty()
+    phones = spark.range(20000).select(F.expr("concat('(017) 555-', lpad(cast(id % 10000 AS string), 4, '0'), ' ', if(id < 10000, 'a', 'b'))").alias("text"))
+    assert pii.pseudonymised(phones).distinct().count() == 20000
+    ips = spark.range(20000).select(F.expr("concat_ws('.', id div 256, id % 256, 7, 9)").alias("text"))
+    assert pii.pseudonymised(ips).distinct().count() == 20000
+
+
+def words(t):
+    return WORD.findall((t or "").translate(LOWER))
+
+
+def mixed(seed, extra):
+    rng = random.Random(seed)
+    some = "aa bb cc by dd general public license all rights reserved É1 zz".split()
+    texts = [None, "", ".,;", *extra]
+    for _ in range(60):
+        w = [rng.choice(some) for _ in range(rng.randint(0, 40))]
+        if rng.random() < 0.5:
+            w.insert(rng.randint(0, len(w)), rng.choice(extra))
+        texts.append(rng.choice([" ", ", ", "\n", "-"]).join(w))
+    return texts
+
+
+def test_licenses(spark):
+    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "licensed under the license version 2 0", "All Rights\nReserved"]
+    texts = mixed(3, lines)
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(0, None, "y")], "doc_id long, text string, labels string")
+    got = {r["doc_id"]: r for r in license_scan.license_scan(df).collect()}
+    for k, t in enumerate(texts):
+        w, r = words(t), got[k]
+        at = {p: [i for i in range(len(w)) if w[i : i + len(p.split())] == p.split()] for p in license_scan.PHRASES}
+        places = sorted(sum(at.values(), []))
+        base = {license_scan.PHRASES[p] for p in at if at[p]}
+        more, best = set(), 0.0
+        for line in (t or "").split("\n"):
+            b = set(words(line))
+            for label, text in license_scan.TEMPLATES.items():
+                v = set(text.split())
+                if len(b & v) >= license_scan.THRESHOLD * len(v) - 1e-9:
+                    more.add(label)
+                    best = max(best, len(b & v) / len(v))
+        want = (k, len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best)
+        assert tuple(r) == want
+    assert license_scan.license_scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_decontamination(spark, bound):
+    rng = random.Random(8)
+    some = "aa bb cc dd ee".split()
+    items = [(k, " ".join(rng.choice(some) for _ in range(n))) for k, n in enumerate([1, 2, 3, 9, 10, 11, 15, 20, 20])] + [(90, None), (91, "..."), (None, "aa aa aa aa aa aa"), (92, "Qq!")]
+    items.append((93, items[7][1]))
+    texts = mixed(5, [t for _, t in items if t])
+    texts += [" ".join(rng.choice(some) for _ in range(60)) for _ in range(10)] + ["qq", items[7][1].upper(), items[7][1].replace(" ", "?!")]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(3, texts[3], 1)], "doc_id long, text string, items int")
+    its = spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, win int")
+    got = decontam.contamination(docs, its, broadcast_bytes=bound).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        w, hit, have = words(texts[r["doc_id"]]), set(), set()
+        for i, t in items:
+            v = words(t)
+            wins = [v[k : k + 10] for k in range(len(v) - 9)] if len(v) >= 10 else ([v] if v else [])
+            for x in wins:
+                for k in range(len(w) - len(x) + 1):
+                    if w[k : k + len(x)] == x:
+                        hit.update(range(k, k + len(x)))
+                        have.add(str(i))
+        have.discard("None")
+        assert tuple(r) == (r["doc_id"], len(w), len(hit), len(have), sorted(have), bool(hit))
+    clean = {r["doc_id"] for r in decontam.clean(docs, its).collect()}
+    assert clean == {r["doc_id"] for r in got if not r["contaminated"]}
+    assert decontam.contamination(docs, its.limit(0)).where("contaminated").isEmpty()
+    assert decontam.contamination(docs.limit(0), its).count() == 0
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
+    rows, labels = [(0, None, "k"), (1, "", "k")], [(0, 0), (1, 0), (9999, 1)]
+    for k in range(2, 1500):
+        bad = rng.random() < 0.2
+        w = [word() for _ in range(60)]
+        if bad:
+            w[rng.randrange(60)] = rng.choice(["Zilch", "zonk!", "réeuxa", "réeuxb", "réeuxc"])
+            w[rng.randrange(60)] = rng.choice(["ZILCH,", "zonk", "réeuxd"])
+        rows.append((k, " ".join(w), "k"))
+        if k < 900:
+            labels.append((k, int(bad)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic string")
+    lab = spark.createDataFrame([*labels, (5, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, lab)
+    assert (np.diff(model.thresholds) > 0).all() and (model.weights >= 0).all()
+    got = {r["doc_id"]: r for r in toxicity.scored(docs, model).collect()}
+    truth = {k: bool(re.search("(?i)zilch|zonk|réeux", t or "")) for k, t, _ in rows}
+    held = [k for k in truth if k >= 900]
+    assert sum(got[k]["toxic"] == truth[k] for k in held) >= 0.98 * len(held)
+    assert not got[0]["toxic"] and not got[1]["toxic"] and all(0 <= r["severity"] <= 2 for r in got.values())
+    kept = toxicity.clean(docs, model)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k in got if not got[k]["toxic"]}
+    nothing = toxicity.fit(docs, lab.where("toxic = 0"))
+    assert toxicity.scored(docs, nothing).where("toxic OR severity > 0").isEmpty()
+    assert toxicity.scored(docs.limit(0), toxicity.fit(docs.limit(0), lab)).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6)))
+    make = lambda n: " ".join(word() for _ in range(n))
+    docs, labels = [], []
+    for k in range(400):
+        t = make(40)
+        if k % 5 == 0:
+            t = "zilch " + t + " zonk"
+        docs.append(t)
+        labels.append((k, 1, int(k % 5 == 0)))
+    item = make(14)
+    docs += [docs[1], docs[1] + " tail", "x " + item.upper() + " y", "write a.b@c.example to me", make(30)]
+    table = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, df in (("documents", table), ("labels", spark.createDataFrame(labels, "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame([(0, item)], "item_id long, text string"))):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen, now = {}, spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, str(tmp_path))
+        now.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert name == corpus_pipeline.STAGES[-1][0] or now.columns == table.columns
+        seen[name] = {r["doc_id"]: r for r in now.collect()}
+    clean = {k for k in range(len(docs)) if not (k < 400 and k % 5 == 0)}
+    assert set(seen["toxicity"]) == clean
+    assert set(seen["near_dup"]) == clean - {400, 401}
+    assert set(seen["decontamination"]) == clean - {400, 401, 402}
+    assert "a.b@c.example" not in seen["pii"][403]["text"] and seen["pii"][404]["text"] == docs[404]
+    last = seen["byte_bpe"]
+    assert set(last) == set(seen["pii"]) and all(last[k]["decoded_sha256"] == sha(seen["pii"][k]["text"]) for k in last)
+    assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {k: r["ids"] for k, r in last.items()}
