@@ -78,15 +78,73 @@ def lane_scores(patterns: Patterns, which: np.ndarray, texts: list[np.ndarray],
     codes = np.full((steps, len(texts)), len(patterns.alphabet), np.int64)
     for k, t in enumerate(texts):
         codes[: len(t), k] = patterns.encoded(t)
+    run = _one_limb if patterns.limbs == 1 else _many_limbs
+    return run(patterns, which, codes, of, metric, anchor)
+
+
+def _one_limb(patterns: Patterns, which: np.ndarray, codes: np.ndarray, of: np.ndarray, metric: str, anchor: str) -> np.ndarray:
+    """Patterns of up to 64 symbols; all steps work in place."""
+    n = len(which)
+    base, mask, eq = which * patterns.width, patterns.mask[0][which], patterns.eq[0]
+    top = patterns.top_bit[which]
+    pv, mv, xb, db = mask.copy(), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    x, d, t, u = (np.empty(n, np.uint64) for _ in range(4))
+    at, score = np.empty(n, np.int64), patterns.lengths[which].astype(np.int32)
+    out = np.empty((len(codes), n), np.int32)
+    compat, swaps, start = metric == "compat", metric != "levenshtein", anchor == "start"
+    both, bor, bxor, inv = np.bitwise_and, np.bitwise_or, np.bitwise_xor, np.invert
+    for j in range(len(codes)):
+        codes[j].take(of, out=at, mode="clip")
+        at += base
+        eq.take(at, out=x, mode="clip")
+        if compat:
+            x |= mv
+        both(x, pv, out=d)
+        d += pv
+        d ^= pv
+        d |= x
+        d |= mv
+        if swaps:
+            inv(db, out=t)
+            t &= x
+            t <<= ONE
+            t &= xb
+            d |= t
+        bor(d, pv, out=t)
+        inv(t, out=t)
+        t |= mv  # rises
+        pv &= d  # falls
+        np.right_shift(t, top, out=u)
+        u &= ONE
+        score += u.astype(np.int32)
+        np.right_shift(pv, top, out=u)
+        u &= ONE
+        score -= u.astype(np.int32)
+        out[j] = score
+        t <<= ONE
+        if start:
+            t |= ONE
+        both(d, t, out=mv)
+        mv &= mask
+        bor(d, t, out=t)
+        inv(t, out=t)
+        pv <<= ONE
+        pv |= t
+        pv &= mask
+        x, xb, d, db = xb, x, db, d
+    return out
+
+
+def _many_limbs(patterns: Patterns, which: np.ndarray, codes: np.ndarray, of: np.ndarray, metric: str, anchor: str) -> np.ndarray:
     base, mask = which * patterns.width, [m[which] for m in patterns.mask]
     limbs = range(patterns.limbs)
     zero = [np.zeros(len(which), np.uint64) for _ in limbs]
     pv, mv, xb, db = [m.copy() for m in mask], zero, zero, zero
-    score, out = patterns.lengths[which].astype(np.int32), np.empty((steps, len(which)), np.int32)
+    score, out = patterns.lengths[which].astype(np.int32), np.empty((len(codes), len(which)), np.int32)
     top_limb, top_bit = patterns.top_limb[which], patterns.top_bit[which]
-    lanes, one_limb = np.arange(len(which)), patterns.limbs == 1
+    lanes = np.arange(len(which))
     first = np.ones(len(which), np.uint64) if anchor == "start" else None
-    for j in range(steps):
+    for j in range(len(codes)):
         at = base + codes[j][of]
         x = [e.take(at) for e in patterns.eq]
         if metric == "compat":
@@ -98,10 +156,7 @@ def lane_scores(patterns: Patterns, which: np.ndarray, texts: list[np.ndarray],
             d = [a | (b & c) for a, b, c in zip(d, t, xb)]
         ph = [m | ~(a | p) for m, a, p in zip(mv, d, pv)]
         mh = [a & p for a, p in zip(d, pv)]
-        if one_limb:
-            up, down = (ph[0] >> top_bit) & ONE, (mh[0] >> top_bit) & ONE
-        else:
-            up, down = ((np.stack(v)[top_limb, lanes] >> top_bit) & ONE for v in (ph, mh))
+        up, down = ((np.stack(v)[top_limb, lanes] >> top_bit) & ONE for v in (ph, mh))
         score = score + up.astype(np.int32) - down.astype(np.int32)
         out[j] = score
         h = _shifted(ph, first)

@@ -30,9 +30,10 @@ PART = "pattern_id long, text_id long, m int, n long, start long, low int, low_a
 
 
 def _lists(mask: np.ndarray, offset: np.ndarray) -> pa.Array:
-    """Each lane's positions where the mask (steps, lanes) holds, as a list column."""
-    lane, step = np.nonzero(mask.T)
-    ends = np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=mask.shape[1]))])
+    """Each lane's positions where the mask (lanes, steps) holds, as a list column."""
+    at = np.flatnonzero(mask)
+    lane, step = np.divmod(at, max(1, mask.shape[1]))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=mask.shape[0]))])
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(step + offset[lane], pa.int64()))
 
 
@@ -69,17 +70,24 @@ class Scanner:
                     yield self.result(got, patterns.lengths[w], pattern_ids[w], *(x[some][t] for x in (ids, n, start, own, lead)))
 
     def result(self, got, m, pattern_id, text_id, n, start, own, lead) -> pa.RecordBatch:
-        step = np.arange(len(got))[:, None]
-        mine = (step >= lead) & (step < lead + own)
-        held = np.where(mine, got, np.iinfo(np.int32).max)
-        low = np.minimum(held.min(0, initial=np.iinfo(np.int32).max), m).astype(np.int32)
+        got = np.ascontiguousarray(got.T)  # (lanes, steps)
+        step, end = np.arange(got.shape[1]), lead + own
+        none = np.iinfo(np.int32).max
+        last = np.where(own > 0, got[np.arange(len(m)), np.maximum(end - 1, 0)] if got.shape[1] else -1, -1)
+        mine = None
+        if lead.any() or (end < got.shape[1]).any() or self.scores:
+            mine = (step >= lead[:, None]) & (step < end[:, None])
+            whole = got
+            got = np.where(mine, got, none)
+        low = np.minimum(got.min(1, initial=none), m).astype(np.int32)
         offset = start - lead
-        last = np.where(own > 0, got[np.maximum(lead + own - 1, 0), np.arange(len(m))] if len(got) else -1, -1)
-        cols = [pa.array(pattern_id), pa.array(text_id), pa.array(m, pa.int32()), pa.array(n), pa.array(start), pa.array(low), _lists(held == low, offset), _lists(held == 0, offset), pa.array(last, pa.int32())]
+        ties = _lists(got == low[:, None], offset)
+        hits = _lists(got == 0, offset) if (low == 0).any() else pa.ListArray.from_arrays(pa.array(np.zeros(len(m) + 1), pa.int32()), pa.array([], pa.int64()))
+        cols = [pa.array(pattern_id), pa.array(text_id), pa.array(m, pa.int32()), pa.array(n), pa.array(start), pa.array(low), ties, hits, pa.array(last, pa.int32())]
         names = ["pattern_id", "text_id", "m", "n", "start", "low", "low_at", "hits", "last"]
         if self.scores:
             ends = np.concatenate([[0], np.cumsum(own)])
-            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(got.T[mine.T], pa.int32())))
+            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole[mine], pa.int32())))
             names.append("scores")
         return pa.RecordBatch.from_arrays(cols, names=names)
 
