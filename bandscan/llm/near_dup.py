@@ -5,22 +5,27 @@ one, if it has fewer), as 64-bit hashes. Documents with equal sets form a
 class (128-bit digest of the set); one representative of each goes on, so
 copies are never compared with each other.
 
-Trees of paths then find candidates. At a tree's root each document branches
-on `branch` of its minwise tokens; documents that share a token share the node
-it leads to. In a node everything is compared with its smallest member. A node
+Trees of paths then find candidates. At the root of each of the trees, each
+document branches on one of its minwise tokens; documents that share it share
+a node. In a node everything is compared with one member, the pivot. A node
 whose members are then all connected is done: more comparisons could not
 change any component. Another one is compared exhaustively, across components
-only, if it is small; else its members branch again by minwise tokens that the
-path selects. Independent trees repeat this. A pair of similarity s shares a
-given token with probability s, so with 3 branches a tree misses a pair at
-0.75 with probability below 0.02, and four trees, below 2e-7. Nodes that are
-still large at `depth` are compared exhaustively across components, so nothing
-is given up.
+only, if these pairs are few; else its members branch on by two more minwise tokens,
+which the path selects, and new pivots. A pair of similarity s shares a token
+with probability s, so pairs at 0.75 meet in one of 24 root nodes but for one
+in 10**14; of a node that had to be branched k times, each tree keeps such a
+pair with probability 0.75 * 0.5625**k, and any link to its component will do.
+Nodes that are still large at `depth` are compared exhaustively across
+components, so nothing is given up.
+
+Candidates whose minwise tokens agree in fewer than half of the 64 places are
+dropped: at 0.75 that happens to two pairs in a million, and it spares reading
+the sets of documents that merely share a common line.
 
 Every link is confirmed on the full sets: 100 * common >= percent * united.
 
-Only representatives that share a node with another have their sets made and
-written; links, nodes and components stay in tables in the shared folder.
+Only representatives in such candidates have their sets made and written;
+links, nodes and components stay in tables in the shared folder.
 
 Defined results: null and empty texts and those without words have an empty
 set and are linked with nothing; a null id takes no part, its component is
@@ -41,9 +46,11 @@ from bandscan.llm.common import by_batch, removed, shared_dir, stored
 from bandscan.llm.components import components
 from bandscan.llm.numtext import FOLDED, blocks, mix, separators, words
 
-TREES, BRANCH, DEEP, SMALL, DEPTH = 4, 3, 24, 24, 6
+TREES, DEEP, SMALL, DEPTH = 24, 40, 24, 10
+#: Ids that may be broadcast to the scan that makes their sets; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
 _APART = separators("space")
-_TIMES = mix(np.arange(1001, 1001 + TREES * BRANCH + DEEP, dtype=np.uint64)) | np.uint64(1)
+_TIMES = mix(np.arange(1001, 1001 + TREES + DEEP, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -124,71 +131,99 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(by_batch(run), f"a {kind}, b {kind}")
 
 
-def _branched(rows: DataFrame, level: int) -> DataFrame:
-    """(path, id) of the next level for rows (path, id, sig); all members of a node use the same tokens."""
-    if level == 1:
-        paths = F.expr(f"transform(sequence(0, {TREES * BRANCH - 1}), c -> xxhash64(c, sig[c]))")
-    else:
-        pick = f"{TREES * BRANCH} + cast(pmod(xxhash64(path) + j * {DEEP // BRANCH}, {DEEP}) AS int)"
-        paths = F.expr(f"transform(sequence(0, {BRANCH - 1}), j -> xxhash64(path, j, sig[{pick}]))")
-    return rows.select(F.explode(paths).alias("path"), "id", "sig")
+class _Links:
+    """Confirmed links so far, their components, and the sets made for them."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, folder: str, size: int, percent: int):
+        self.docs, self.reps, self.folder, self.size, self.percent = docs, reps, folder, size, percent
+        self.links = self.comps = self.sets = None
+        self.n = 0
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirms candidates (a, b) and brings the components up to date."""
+        self.n += 1
+        spark, sig = self.docs.sparkSession, self.reps.select("id", "sig")
+        agree = f"size(filter(zip_with(sa, sb, (x, y) -> x = y), e -> e)) >= {(TREES + DEEP) // 2}"
+        pairs = stored(pairs.distinct(), self.folder, f"pairs-{self.n}")
+        near = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        near = stored(near.where(agree).select("a", "b"), self.folder, f"near-{self.n}")
+        removed(spark, f"{self.folder}/pairs-{self.n}")
+        ids = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("id"), "id", "left_anti")
+        ids = stored(ids.join(self.reps.select("id", "d1"), "id"), self.folder, f"ids-{self.n}")
+        if count := ids.count():
+            new = stored(_sets(self.docs, F.broadcast(ids) if count <= BROADCAST_IDS else ids, self.size), self.folder, f"sets-{self.n}")
+            self.sets = new if self.sets is None else self.sets.unionAll(new)
+        if self.sets is None:
+            return
+        found = stored(_confirmed(near, self.sets, self.percent), self.folder, f"links-{self.n}")
+        removed(spark, f"{self.folder}/near-{self.n}", f"{self.folder}/ids-{self.n}")
+        if not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionAll(found)
+            self.comps = components(self.links, f"{self.folder}/comps-{self.n}")
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Adds each id's component so far."""
+        if self.comps is None:
+            return rows.withColumn("comp", F.col("id"))
+        return rows.join(self.comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _branched(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows (path, id) with the paths of the next level; all members of a node use the same two tokens."""
+    pick = f"{TREES} + cast(pmod(xxhash64(path){{}}, {DEEP}) AS int)"
+    path = F.expr(f"xxhash64(path, sig[{pick.format('')}], sig[{pick.format(' + 19')}])")
+    return rows.join(reps.select("id", "sig"), "id").select(path.alias("path"), "id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document."""
-    spark, folder, made = docs.sparkSession, shared_dir(docs.sparkSession), 0
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sigs = stored(signatures(docs, size), folder, "sigs")
     in_class = sigs.where("id IS NOT NULL AND n > 0")
     reps = stored(in_class.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), folder, "reps")
-    links = comps = sets = None
-    rows, level = reps.select("id", "sig"), 1
+    links = _Links(docs, reps, folder, size, percent)
+    roots = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), c -> xxhash64(c, sig[c]))"))
+    rows, level = reps.select(roots.alias("path"), "id"), 1
     while True:
-        rows = _branched(rows, level)
-        nodes = stored(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1"), folder, f"nodes-{level}")
-        members = stored(rows.join(nodes, "path"), folder, f"members-{level}")
+        if level == 1:
+            nodes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
+            members = stored(rows.join(stored(nodes, folder, "nodes-1"), "path"), folder, "members-1")
+            stars = members.where("id > pivot")
+        else:
+            rows = stored(links.labelled(rows), folder, f"rows-{level}")
+            turn = F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id", "comp")
+            nodes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min(turn).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            nodes = stored(nodes.select("path", "size", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp")), folder, f"nodes-{level}")
+            members = stored(rows.join(nodes, "path"), folder, f"members-{level}")
+            removed(spark, f"{folder}/rows-{level}")
+            stars = members.where("comp != pivot_comp")
         removed(spark, f"{folder}/nodes-{level}", f"{folder}/open-{level - 1}")
-        if sets is None:
-            wanted = stored(reps.select("id", "d1").join(members.select("id").distinct(), "id", "left_semi"), folder, "wanted")
-            sets = stored(_sets(docs, wanted, size), folder, "sets")
-        done = False
-        for stars in (True, False):
-            if stars:
-                pairs = members.where("id > pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
-            else:
-                some = members.where("several").select("path", "id", "comp") if level >= depth else members.where(F.col("several") & (F.col("size") <= small)).select("path", "id", "comp")
-                other = some.select("path", F.col("id").alias("b"), F.col("comp").alias("cb"))
-                pairs = some.join(other, "path").where("id < b AND comp != cb").select(F.col("id").alias("a"), "b")
-            pairs = pairs.distinct()
-            if links is not None:
-                pairs = pairs.join(links, ["a", "b"], "left_anti")
-            made += 1
-            found = stored(_confirmed(stored(pairs, folder, f"pairs-{made}"), sets, percent), folder, f"links-{made}")
-            removed(spark, f"{folder}/pairs-{made}")
-            if not found.isEmpty():
-                links = found if links is None else links.unionAll(found)
-                comps = components(links, f"{folder}/comps-{made}")
-            if stars:  # which nodes have members that are not connected yet
-                own = members.drop("comp", "several")
-                own = own.withColumn("comp", F.col("id")) if comps is None else own.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-                own = stored(own.select("path", "id", "sig", "size", "comp"), folder, f"own-{level}")
-                several = own.groupBy("path").agg((F.min("comp") < F.max("comp")).alias("several")).where("several")
-                members = stored(own.join(stored(several, folder, f"several-{level}"), "path"), folder, f"open-{level}")
-                removed(spark, f"{folder}/members-{level}", f"{folder}/own-{level}", f"{folder}/several-{level}")
-                done = members.isEmpty()
-                if done:
-                    break
-        rows = members.where(F.col("size") > small).select("path", "id", "sig")
-        if done or level >= depth or rows.isEmpty():
+        links.add(stars.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
+        # what is left are nodes whose members are not all connected yet
+        own = stored(links.labelled(members.select("path", "id", "size")), folder, f"own-{level}")
+        parts = own.groupBy("path", "comp").agg(F.count("*").alias("c")).groupBy("path").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across"))
+        several = parts.where("across > 0")
+        left = stored(own.join(stored(several, folder, f"several-{level}"), "path"), folder, f"open-{level}")
+        removed(spark, f"{folder}/members-{level}", f"{folder}/own-{level}", f"{folder}/several-{level}")
+        some = left if level >= depth else left.where(F.col("across") <= small * small / 2)
+        some = some.select("path", F.col("id").alias("a"), "comp")
+        other = some.select("path", F.col("a").alias("b"), F.col("comp").alias("other"))
+        links.add(some.join(other, "path").where("a < b AND comp != other").select("a", "b"))
+        rows = left.where(F.col("across") > small * small / 2).select("path", "id")
+        if level >= depth or rows.isEmpty():
             break
-        level += 1
+        rows, level = _branched(rows, reps), level + 1
+    comps = links.comps
     tops = reps.select("d1", "d2", "id")
     if comps is not None:
         tops = tops.join(comps, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("component_id"))
     else:
         tops = tops.select("d1", "d2", F.col("id").alias("component_id"))
     tops = stored(tops, folder, "tops")
-    removed(spark, f"{folder}/sets", f"{folder}/reps", f"{folder}/open-{level}")
+    removed(spark, f"{folder}/reps", f"{folder}/open-{level}", *(f"{folder}/sets-{k}" for k in range(1, links.n + 1)))
     out = sigs.select("id", "n", "d1", "d2").join(tops, ["d1", "d2"], "left")
     comp = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
