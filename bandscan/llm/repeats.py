@@ -51,7 +51,7 @@ from bandscan.llm.suffix_array import common_prefixes, suffix_array
 
 SIZE, GRAM, GROUP = 100, 40, 20_000
 #: Bytes of text whose anchors are deduplicated together, and of contexts in a suffix array.
-BLOCK, SHARD = 2 << 20, 1 << 20
+BLOCK, SHARD = 2 << 20, 3 << 19
 
 
 def _slide(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -209,12 +209,12 @@ def _windows_packed(batches: Iterator[pa.RecordBatch], size: int, buckets: int)
 def shard_repeats(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarray, contexts: list[bytes], size: int) -> Iterator[tuple]:
     """FOUND rows of the windows of a shard's contexts that also start earlier."""
     lens = np.array([len(c) for c in contexts])
-    text = np.zeros(lens.sum() + len(lens) + 1, np.int64)
+    text = np.zeros(lens.sum() + len(lens) + 1, np.uint8)  # UTF-8 has no bytes above 0xF7
     begin = np.cumsum(lens + 1) - lens - 1
     where = np.repeat(begin, lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-    text[where] = np.frombuffer(b"".join(contexts), np.uint8).astype(np.int64) + 2
+    text[where] = np.frombuffer(b"".join(contexts), np.uint8) + np.uint8(2)
     text[begin + lens] = 1
-    sa = suffix_array(text, 258)
+    sa = suffix_array(text, 256)
     common = common_prefixes(text, sa, size)
     own = np.searchsorted(begin, sa, "right") - 1
     inside = sa + size <= begin[own] + lens[own]  # else the string runs over its context's end

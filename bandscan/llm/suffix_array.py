@@ -18,13 +18,13 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranks(keys: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Stable order of keys, the different keys, their counts, and each entry's place among equals."""
-    order = np.argsort(keys.astype(np.uint16) if symbols <= 1 << 16 else keys, kind="stable")
+    order = np.argsort(keys, kind="stable")  # by radix for symbols of 8 or 16 bits
     k = keys[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
     count = np.diff(np.concatenate([first, [len(k)]]))
-    return order, k[first], count, np.arange(len(k)) - np.repeat(first, count)
+    return order, k[first].astype(np.int64), count, np.arange(len(k)) - np.repeat(first, count)
 
 
 def _next_open(now: np.ndarray, end: np.ndarray, c: int, step: int) -> int:
@@ -47,8 +47,8 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
     larger: how many suffixes of each bucket are larger than their neighbour.
     """
     n, symbols = len(s), len(starts) - 1
-    sa = np.full(n, -1, np.int64)
-    order, keys, count, within = _ranks(s[lms], symbols)
+    sa = np.full(n, -1, np.int32)
+    order, keys, count, within = _ranks(s[lms])
     sa[np.repeat(starts[keys + 1] - count, count) + within] = lms[order]
     head, full = starts[:-1].copy(), starts[:-1] + larger
     p, c = 0, 0
@@ -59,7 +59,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
         j = j[j > 0] - 1
         j = j[~smaller[j]]
         if len(j):
-            order, keys, count, within = _ranks(s[j], symbols)
+            order, keys, count, within = _ranks(s[j])
             sa[np.repeat(head[keys], count) + within] = j[order]
             head[keys] += count
         if c < 0:
@@ -82,7 +82,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
         j = j[j > 0] - 1
         j = j[smaller[j]]
         if len(j):
-            order, keys, count, within = _ranks(s[j], symbols)
+            order, keys, count, within = _ranks(s[j])
             sa[np.repeat(tail[keys], count) - 1 - within] = j[order]
             tail[keys] -= count
         if c < 0:
@@ -95,13 +95,14 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     """Of a string of symbols below `symbols`, whose last one is 0 and occurs once."""
     n = len(s)
     if n == 1:
-        return np.zeros(1, np.int64)
+        return np.zeros(1, np.int32)
+    s = s.astype(np.uint8 if symbols <= 1 << 8 else np.uint16 if symbols <= 1 << 16 else np.int32, copy=False)
     change = np.flatnonzero(s[:-1] != s[1:])
     nearest = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
     smaller = np.empty(n, bool)
     smaller[:-1] = s[nearest] < s[nearest + 1]
     smaller[-1] = True
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=symbols))])
     larger = np.bincount(s[~smaller], minlength=symbols)
     sa = _induce(s, smaller, lms, starts, larger)
@@ -109,7 +110,7 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         is_lms = np.zeros(n, bool)
         is_lms[lms] = True
         sorted_lms = sa[is_lms[sa]]
-        size = np.zeros(n, np.int64)  # of the LMS substring, with the next one's first symbol
+        size = np.zeros(n, np.int32)  # of the LMS substring, with the next one's first symbol
         size[lms[:-1]] = np.diff(lms) + 1
         size[lms[-1]] = 1
         a, b = sorted_lms[:-1], sorted_lms[1:]
@@ -124,7 +125,7 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
             same[k] = ~np.logical_or.reduceat(unequal, np.cumsum(lengths) - lengths)
         names = np.concatenate([[0], np.cumsum(~same)])
         if names[-1] + 1 < len(lms):
-            name_of = np.zeros(n, np.int64)
+            name_of = np.zeros(n, np.int32)
             name_of[sorted_lms] = names
             order = suffix_array(name_of[lms], int(names[-1]) + 1)
             sorted_lms = lms[order]
@@ -133,17 +134,26 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
 
 
 def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
-    """Permuted: for each position, the length in common with the suffix sorted before it, at most cap."""
+    """Permuted: for each position, the length in common with the suffix sorted before it, at most cap.
+
+    s has one byte a symbol; eight of them are compared at a time.
+    """
     n = len(s)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[sa[1:]], before[sa[0]] = sa[:-1], -1
-    padded = np.concatenate([s.astype(np.int64), np.full(cap + 8, -1)])
-    out = np.zeros(n, np.int64)
-    live = np.flatnonzero(before >= 0)
-    for k in range(0, cap, 4):
-        for d in range(k, min(cap, k + 4)):
-            live = live[padded[live + d] == padded[before[live] + d]]
-            out[live] = d + 1
+    padded = np.concatenate([s.astype(np.uint8), np.zeros(cap + 16, np.uint8)])
+    eight = np.ndarray((n + cap + 8,), "<u8", padded, strides=(1,))
+    out = np.zeros(n, np.int32)
+    live = np.flatnonzero(before >= 0).astype(np.int32)
+    other = before[live]
+    for d in range(0, cap, 8):
+        unlike = eight[live + d] ^ eight[other + d]
+        same = unlike == 0
+        end, rest = live[~same], unlike[~same]
+        out[end] = d + sum(((rest << np.uint64(64 - 8 * k)) == 0).astype(np.int32) for k in range(1, 8))
+        live, other = live[same], other[same]
+        out[live] = d + 8
         if not len(live):
             break
-    return out
+    # zeros behind the end equal the last symbol at most; no two suffixes are equal to their ends
+    return np.minimum(out, np.minimum(cap, n - np.maximum(np.arange(n), before)))
