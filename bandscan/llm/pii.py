@@ -1,7 +1,8 @@
 r"""PII pseudonyms: a keyed Feistel permutation within each value's format.
 
 Found and validated: e-mail addresses, IPv4 addresses (octets to 255),
-telephone numbers (grouped, or with a country code), payment numbers (13 to 19
+telephone numbers (grouped, or with a country code; a number or address after
+a blank is not part of them), payment numbers (13 to 19
 digits, Luhn check), national numbers 3-2-4 (area not 000, 666 or 9xx), IBANs
 (mod 97), calendar dates from 1900-01-01 on (73,170 days), and quoted secrets
 after token, key, secret or password. What fails its validation stays.
@@ -42,7 +43,14 @@ _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
 _NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
-_PHONE = r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){2,3}|(?<![0-9(-])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9])"
+#: A number written without breaks is complete by itself; else country, area and two groups, and a third one
+#: only if it is joined on: without a blank, or as a pair after a pair ("123 45 67"), so that what follows stays apart.
+_THIRD = r"(?:-?[0-9]{2,4}|(?<=\.[0-9]{2,4})\.[0-9]{2,4}|(?<= [0-9]{2}) [0-9]{2}(?![./-]?[0-9]))?"
+_AFTER_BLANK = r" (?![0-9]++(?:[./][0-9]|-[0-9]{2}-))[0-9]{2,4}"
+_PHONE = (
+    r"(?:\+(?:[0-9]{10,19}|[0-9]{1,3}[ .-][0-9]{8,16}|[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{2,4}"
+    rf"(?:[.-]?[0-9]{{2,4}}|{_AFTER_BLANK}){_THIRD})|(?<![0-9(-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}})(?![0-9])"
+)
 _CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9])"
 PATTERN = "|".join((_EMAIL, _SECRET, _IBAN, _IP, _DATE, _NATIONAL, _PHONE, _CARD))
 

@@ -76,6 +76,19 @@ def test_pii(spark):
         pii.pseudonymised(df, key="a'b")
 
 
+def test_pii_phone_ends_before_what_follows(spark):
+    phones = ["+1 (826) 555-4081", "+18265554081", "+1 8265554081", "+1.826.555.4081", "+7 495 123 45 67", "+49 30 1234 5678", "+49-30-123-456-78", "+49 15123456789", "+91 98765 43210"]
+    after = ["", " 190.137.223.204", " 2024", " 1984-02-29", " 25/12/1990", " 29.02.1984", " 12 apples", ", 2024"]
+    alone = dict(enumerate(r["text"] for r in pii.pseudonymised(spark.createDataFrame([(k, p) for k, p in enumerate(phones)], "k int, text string")).orderBy("k").collect()))
+    texts = [(k, n, p + a) for k, p in enumerate(phones) for n, a in enumerate(after)]
+    for r in pii.pseudonymised(spark.createDataFrame(texts, "k int, n int, text string"), count_col="found").collect():
+        p, a = phones[r["k"]], after[r["n"]]
+        assert alone[r["k"]] != p and r["text"].startswith(alone[r["k"]])  # the same number has the same pseudonym
+        rest = r["text"][len(p) :]
+        personal = r["n"] in (1, 3, 4, 5)
+        assert (rest != a) == personal and r["found"] == 1 + personal, (p + a, r["text"])
+
+
 def test_pii_is_a_bijection(spark):
     days = spark.range(73170).select(F.expr("date_format(date_add(DATE'1900-01-01', cast(id AS int)), 'yyyy-MM-dd')").alias("text"))
     out = pii.pseudonymised(days)
