@@ -10,17 +10,18 @@ document branches on one of its minwise tokens; documents that share it share
 a node. In a node everything is compared with one member, the pivot. A node
 whose members are then all connected is done: more comparisons could not
 change any component. Another one is compared exhaustively, across components
-only, if these pairs are few; else its members branch on by two more minwise tokens,
-which the path selects, and new pivots. A pair of similarity s shares a token
-with probability s, so pairs at 0.75 meet in one of 24 root nodes but for one
-in 10**14; of a node that had to be branched k times, each tree keeps such a
-pair with probability 0.75 * 0.5625**k, and any link to its component will do.
-Nodes that are still large at `depth` are compared exhaustively across
-components, so nothing is given up.
-
-Candidates whose minwise tokens agree in fewer than half of the 64 places are
-dropped: at 0.75 that happens to two pairs in a million, and it spares reading
-the sets of documents that merely share a common line.
+only, if these pairs are few; from the second level on also if its members'
+sets fit one task, which then returns a spanning forest of the true links.
+Else its members branch on into several nodes, each by two of the 64 minwise
+tokens, which the path selects, and new pivots.
+
+A pair of similarity 0.75 shares two tokens with probability 0.56, so of its
+four paths a level 2.2 are expected to go on and levels do not use it up. With
+fewer than 32 equal tokens a candidate is dropped, which spares reading the
+sets of documents that merely share a common line. Over all 64 tokens, the
+chance that a pair at 0.75 is dropped or meets in no node that is compared
+exhaustively (`missed`) is computed there; any link to its component will do. Nodes
+that are still large at `depth` are compared exhaustively across components.
 
 Every link is confirmed on the full sets: 100 * common >= percent * united.
 
@@ -36,6 +37,7 @@ their row; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,11 +48,28 @@ from bandscan.llm.common import by_batch, removed, shared_dir, stored
 from bandscan.llm.components import components
 from bandscan.llm.numtext import FOLDED, blocks, mix, separators, words
 
-TREES, DEEP, SMALL, DEPTH = 24, 40, 24, 10
+TREES, TOKENS, SMALL, DEPTH = 24, 64, 24, 10
+#: Paths by which a member branches on, tokens of each, and tokens in which a candidate agrees at least.
+BRANCHES, TAKEN, AGREED = 4, 2, 32
+#: Members and shingles of nodes that one task compares exhaustively; shingles of so many members go through a matrix product.
+BLOCK, BLOCK_SHINGLES, COMMON = 2000, 1_000_000, 32
 #: Ids that may be broadcast to the scan that makes their sets; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _APART = separators("space")
-_TIMES = mix(np.arange(1001, 1001 + TREES + DEEP, dtype=np.uint64)) | np.uint64(1)
+_TIMES = mix(np.arange(1001, 1001 + TOKENS, dtype=np.uint64)) | np.uint64(1)
+
+
+def missed(levels: int, similarity: float = 0.75) -> float:
+    """The chance that a pair is not found although no node closed before so many further levels."""
+    out = 0.0
+    for same in range(TOKENS + 1):
+        p = comb(TOKENS, same) * similarity**same * (1 - similarity) ** (TOKENS - same)
+        lost, on = 0.0, comb(same, TAKEN) / comb(TOKENS, TAKEN)
+        for _ in range(levels):
+            lost = (1 - on * (1 - lost)) ** BRANCHES
+        met = range(max(0, TREES - TOKENS + same), min(same, TREES) + 1)
+        out += p * (1 if same < AGREED else sum(comb(same, r) * comb(TOKENS - same, TREES - r) * lost**r for r in met) / comb(TOKENS, TREES))
+    return out
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -131,6 +150,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "sa", "sb").mapInArrow(by_batch(run), f"a {kind}, b {kind}")
 
 
+def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (i, k) among all pairs of sets, as many as connect what similar pairs connect."""
+    m, n = len(sets), np.array([len(s) for s in sets], np.int64)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, common = np.repeat(np.arange(m), n), np.zeros((m, m), np.int64)
+    column = np.where(count >= COMMON, np.cumsum(count >= COMMON) - 1, -1)[at]
+    for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
+        here = (column >= lo) & (column < lo + 4096)
+        held = np.zeros((m, 4096), np.float32)
+        held[row[here], column[here] - lo] = 1
+        common += (held @ held.T).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    by_shingle, times = row[order], count[at[order]]
+    for c in range(2, COMMON):
+        r = by_shingle[times == c].reshape(-1, c)
+        for k in range(1, c):
+            for x, y in ((r[:, k:], r[:, :-k]), (r[:, :-k], r[:, k:])):
+                np.add.at(common, (x.ravel(), y.ravel()), 1)
+    similar = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    out, fresh = [], np.ones(m, bool)
+    for start in range(m):
+        todo = [start] if fresh[start] else []
+        fresh[start] = False
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(similar[i] & fresh).tolist()
+            fresh[new] = False
+            out += [(i, k) for k in new]
+            todo += new
+    return out
+
+
 class _Links:
     """Confirmed links so far, their components, and the sets made for them."""
 
@@ -143,22 +194,43 @@ class _Links:
         """Confirms candidates (a, b) and brings the components up to date."""
         self.n += 1
         spark, sig = self.docs.sparkSession, self.reps.select("id", "sig")
-        agree = f"size(filter(zip_with(sa, sb, (x, y) -> x = y), e -> e)) >= {(TREES + DEEP) // 2}"
+        agree = f"size(filter(zip_with(sa, sb, (x, y) -> x = y), e -> e)) >= {AGREED}"
         pairs = stored(pairs.distinct(), self.folder, f"pairs-{self.n}")
         near = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
         near = stored(near.where(agree).select("a", "b"), self.folder, f"near-{self.n}")
         removed(spark, f"{self.folder}/pairs-{self.n}")
-        ids = near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct()
+        self._need(near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct())
+        if self.sets is not None:
+            self._found(_confirmed(near, self.sets, self.percent))
+        removed(spark, f"{self.folder}/near-{self.n}")
+
+    def within(self, nodes: DataFrame) -> None:
+        """Links among all members of each of the nodes (path, id), on full sets."""
+        self.n += 1
+        percent, kind = self.percent, nodes.schema["id"].dataType.simpleString()
+
+        def run(t: pa.Table) -> pa.Table:
+            ids = t.column("id").combine_chunks()
+            links = forest([np.frombuffer(v.as_buffer(), np.uint64) for v in t.column("set")], percent)
+            a, b = (ids.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1))
+            return pa.table({"a": a, "b": b})
+
+        self._need(nodes.select("id").distinct())
+        found = nodes.join(self.sets, "id").select("path", "id", "set").groupBy("path").applyInArrow(run, f"a {kind}, b {kind}")
+        self._found(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+
+    def _need(self, ids: DataFrame) -> None:
+        """Makes the sets of these ids that are not there yet."""
         if self.sets is not None:
             ids = ids.join(self.sets.select("id"), "id", "left_anti")
         ids = stored(ids.join(self.reps.select("id", "d1"), "id"), self.folder, f"ids-{self.n}")
         if count := ids.count():
             new = stored(_sets(self.docs, F.broadcast(ids) if count <= BROADCAST_IDS else ids, self.size), self.folder, f"sets-{self.n}")
             self.sets = new if self.sets is None else self.sets.unionAll(new)
-        if self.sets is None:
-            return
-        found = stored(_confirmed(near, self.sets, self.percent), self.folder, f"links-{self.n}")
-        removed(spark, f"{self.folder}/near-{self.n}", f"{self.folder}/ids-{self.n}")
+        removed(self.docs.sparkSession, f"{self.folder}/ids-{self.n}")
+
+    def _found(self, links: DataFrame) -> None:
+        found = stored(links, self.folder, f"links-{self.n}")
         if not found.isEmpty():
             self.links = found if self.links is None else self.links.unionAll(found)
             self.comps = components(self.links, f"{self.folder}/comps-{self.n}")
@@ -171,19 +243,20 @@ class _Links:
 
 
 def _branched(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """rows (path, id) with the paths of the next level; all members of a node use the same two tokens."""
-    pick = f"{TREES} + cast(pmod(xxhash64(path){{}}, {DEEP}) AS int)"
-    path = F.expr(f"xxhash64(path, sig[{pick.format('')}], sig[{pick.format(' + 19')}])")
-    return rows.join(reps.select("id", "sig"), "id").select(path.alias("path"), "id")
+    """rows (path, id) with the paths of the next level; all members of a node use the same tokens."""
+    first = f"cast(pmod(xxhash64(path, c), {TOKENS}) AS int)"
+    second = f"cast(pmod({first} + 1 + pmod(xxhash64(c, path), {TOKENS - 1}), {TOKENS}) AS int)"
+    paths = F.expr(f"transform(sequence(0, {BRANCHES - 1}), c -> xxhash64(path, c, sig[{first}], sig[{second}]))")
+    return rows.join(reps.select("id", "sig"), "id").select(F.explode(paths).alias("path"), "id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sigs = stored(signatures(docs, size), folder, "sigs")
     in_class = sigs.where("id IS NOT NULL AND n > 0")
-    reps = stored(in_class.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), folder, "reps")
+    reps = stored(in_class.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), folder, "reps")
     links = _Links(docs, reps, folder, size, percent)
     roots = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), c -> xxhash64(c, sig[c]))"))
     rows, level = reps.select(roots.alias("path"), "id"), 1
@@ -213,6 +286,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         other = some.select("path", F.col("a").alias("b"), F.col("comp").alias("other"))
         links.add(some.join(other, "path").where("a < b AND comp != other").select("a", "b"))
         rows = left.where(F.col("across") > small * small / 2).select("path", "id")
+        if 1 < level < depth and not rows.isEmpty():
+            held = rows.join(reps.select("id", "n"), "id").groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+            held = stored(held.select("path", F.expr(f"m <= {block} AND shingles <= {BLOCK_SHINGLES}").alias("fits")), folder, f"held-{level}")
+            split = stored(rows.join(held, "path"), folder, f"split-{level}")
+            removed(spark, f"{folder}/held-{level}", f"{folder}/split-{level - 1}")
+            rows = split.where("NOT fits").select("path", "id")
+            if not split.where("fits").isEmpty():
+                links.within(split.where("fits").select("path", "id"))
         if level >= depth or rows.isEmpty():
             break
         rows, level = _branched(rows, reps), level + 1

@@ -66,3 +66,19 @@ def test_empty_null_and_repeated(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (9, "a b c d e f"), (None, "a b c d e f"), (7, None)]
     got = near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, comp int"))
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(5, 2, 5, True), (5, 2, 5, True), (9, 2, 5, False), (None, 2, None, True), (7, 0, 7, True)], key=str)
+
+
+def test_single_links_in_a_family_just_below(spark):
+    """Members share 0.66 to 0.74 with nearly all others; pairs with four edits at equal places share 0.76."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(1100):
+        near = list(base)
+        for slot in rng.sample(range(59), 6):
+            near[5 * slot + 4] = f"own{i}x{slot}"
+        rows.append((i, " ".join(near)))
+    want = brute(rows)
+    assert sum(not kept for *_, kept in want) > 100
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == want
