@@ -17,10 +17,11 @@ tokens, which the path selects, and new pivots.
 
 A pair of similarity 0.75 shares two tokens with probability 0.56, so of its
 four paths a level 2.2 are expected to go on and levels do not use it up. With
-fewer than 32 equal tokens a candidate is dropped, which spares reading the
+fewer than 28 equal tokens a candidate is dropped, which spares reading the
 sets of documents that merely share a common line. Over all 64 tokens, the
 chance that a pair at 0.75 is dropped or meets in no node that is compared
-exhaustively (`missed`) is computed there; any link to its component will do. Nodes
+exhaustively (`missed`) is 3e-8 where nodes close on the second level, 2e-7 on
+the fourth, 5e-6 on the eleventh; any link to its component will do. Nodes
 that are still large at `depth` are compared exhaustively across components.
 
 Every link is confirmed on the full sets: 100 * common >= percent * united.
@@ -50,7 +51,7 @@ from bandscan.llm.numtext import FOLDED, blocks, mix, separators, words
 
 TREES, TOKENS, SMALL, DEPTH = 24, 64, 24, 10
 #: Paths by which a member branches on, tokens of each, and tokens in which a candidate agrees at least.
-BRANCHES, TAKEN, AGREED = 4, 2, 32
+BRANCHES, TAKEN, AGREED = 4, 2, 28
 #: Members and shingles of nodes that one task compares exhaustively; shingles of so many members go through a matrix product.
 BLOCK, BLOCK_SHINGLES, COMMON = 2000, 1_000_000, 32
 #: Ids that may be broadcast to the scan that makes their sets; more are joined by shuffling.

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from bandscan.llm.near_dup import near_duplicates
+from bandscan.llm.near_dup import missed, near_duplicates
 
 
 def brute(rows, size=5, percent=75):
@@ -82,3 +82,7 @@ def test_single_links_in_a_family_just_below(spark):
     assert sum(not kept for *_, kept in want) > 100
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect())) == want
+
+
+def test_computed_miss():
+    assert missed(1) < 5e-8 and missed(9) < 5e-6
