@@ -5,34 +5,40 @@ one, if it has fewer), as 64-bit hashes. Documents with equal sets form a
 class (128-bit digest of the set); one representative of each goes on, so
 copies are never compared with each other.
 
-Trees of paths then find candidates. At the root of each of the trees, each
-document branches on one of its minwise tokens; documents that share it share
-a node. In a node everything is compared with one member, the pivot. A node
-whose members are then all connected is done: more comparisons could not
-change any component. Another one is compared exhaustively, across components
-only, if these pairs are few; from the second level on also if its members'
-sets fit one task, which then returns a spanning forest of the true links.
-Else its members branch on into several nodes, each by two of the 64 minwise
-tokens, which the path selects, and new pivots.
-
-A pair of similarity 0.75 shares two tokens with probability 0.56, so of its
-four paths a level 2.2 are expected to go on and levels do not use it up. With
-fewer than 28 equal tokens a candidate is dropped, which spares reading the
-sets of documents that merely share a common line. Over all 64 tokens, the
-chance that a pair at 0.75 is dropped or meets in no node that is compared
-exhaustively (`missed`) is 3e-8 where nodes close on the second level, 2e-7 on
-the fourth, 5e-6 on the eleventh; any link to its component will do. Nodes
-that are still large at `depth` are compared exhaustively across components.
+Trees of paths find candidates. At the root of each tree, each document
+branches on one of its 64 minwise tokens; documents that share it share a
+node. A node of up to `bound` members is a leaf: one task compares its members
+exhaustively by their tokens. A larger node first compares everything with one
+member, the pivot, and is done if that connects all its members (more
+comparisons could not change any component). Else its members branch on: each
+follows one further token, and with a probability of 1/3 a second one, so that
+a pair of similarity 0.75 has one common path a level to go on. Members of
+nodes that branch get further independent trees. Nodes that are still large
+at `depth` are compared exhaustively, in slices.
+
+In a leaf, members that agree in 28 of 64 tokens are candidates. Where they are
+few, all of them go on. In a dense group only a spanning forest does, of the
+pairs that agree most; if the links among these do not connect the group, all
+its members are compared exhaustively on their full sets, in slices that fit a
+task, and a forest of the true links comes back. So no work grows with the
+square of a group of copies.
 
 Every link is confirmed on the full sets: 100 * common >= percent * united.
+Only documents with candidates have their sets made and written; links, nodes
+and components stay in tables in the shared folder.
 
-Only representatives in such candidates have their sets made and written;
-links, nodes and components stay in tables in the shared folder.
+`missed` computes the chance that a pair of similarity 0.75 meets in no leaf or
+agrees in fewer than 28 tokens: 9e-8 where root nodes are leaves, 4e-5 below
+ten branchings; any link to its component will do. tests/llm measures recall
+against brute force on families whose members are just below the threshold.
 
 Defined results: null and empty texts and those without words have an empty
 set and are linked with nothing; a null id takes no part, its component is
-null and it is kept; repeated rows fall into one component and each keep
-their row; an empty table gives an empty result; other columns are ignored.
+null and it is kept; repeated rows fall into one component and each keep their
+row; rows of equal id with different texts are one document of several texts:
+links of any of them count for the id; an empty table gives an empty result;
+texts may be of any length, one that exceeds a block of work is one of its own;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +48,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,11 +56,14 @@ from bandscan.llm.common import by_batch, removed, shared_dir, stored
 from bandscan.llm.components import components
 from bandscan.llm.numtext import FOLDED, blocks, mix, separators, words
 
-TREES, TOKENS, SMALL, DEPTH = 24, 64, 24, 10
-#: Paths by which a member branches on, tokens of each, and tokens in which a candidate agrees at least.
-BRANCHES, TAKEN, AGREED = 4, 2, 28
-#: Members and shingles of nodes that one task compares exhaustively; shingles of so many members go through a matrix product.
-BLOCK, BLOCK_SHINGLES, COMMON = 2000, 1_000_000, 32
+#: Trees of all documents, further trees of members of nodes that branch, minwise tokens, levels.
+TREES, MORE_TREES, TOKENS, DEPTH = 12, 24, 64, 10
+#: Tokens in which a candidate agrees at least, and members of a leaf.
+AGREED, BOUND = 28, 2000
+#: Members of nodes whose pairs are listed without a matrix, and candidates a member in a group that is not dense.
+FEW, SPARSE = 8, 4
+#: Shingles and members of a slice, two of which meet in a task; shingles of so many members go through a matrix product.
+SLICE_SHINGLES, SLICE_MEMBERS, COMMON = 1_000_000, 2000, 32
 #: Ids that may be broadcast to the scan that makes their sets; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 _APART = separators("space")
@@ -61,16 +71,14 @@ _TIMES = mix(np.arange(1001, 1001 + TOKENS, dtype=np.uint64)) | np.uint64(1)
 
 
 def missed(levels: int, similarity: float = 0.75) -> float:
-    """The chance that a pair is not found although no node closed before so many further levels."""
-    out = 0.0
-    for same in range(TOKENS + 1):
-        p = comb(TOKENS, same) * similarity**same * (1 - similarity) ** (TOKENS - same)
-        lost, on = 0.0, comb(same, TAKEN) / comb(TOKENS, TAKEN)
-        for _ in range(levels):
-            lost = (1 - on * (1 - lost)) ** BRANCHES
-        met = range(max(0, TREES - TOKENS + same), min(same, TREES) + 1)
-        out += p * (1 if same < AGREED else sum(comb(same, r) * comb(TOKENS - same, TREES - r) * lost**r for r in met) / comb(TOKENS, TREES))
-    return out
+    """The chance that a pair meets in no leaf, if leaves are so many branchings below the roots, or agrees too little."""
+    lost = 0.0
+    for _ in range(levels):
+        on = similarity * (1 - lost)
+        lost = (1 - on) * (1 - on / 3)
+    trees = TREES + (MORE_TREES if levels else 0)
+    few = sum(comb(TOKENS, k) * similarity**k * (1 - similarity) ** (TOKENS - k) for k in range(AGREED))
+    return (1 - similarity * (1 - lost)) ** trees + few
 
 
 def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -97,7 +105,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(id, n, d1, d2, sig) of documents (id, text): set size, set digest, minwise tokens."""
+    """(id, n, d1, d2, sig, short) of documents (id, text): set size, set digest, minwise tokens, a byte of each."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, d1, d2, sig = [], [], [], []
@@ -111,10 +119,12 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
             else:
                 low = (s[None, :] * _TIMES[:, None]).min(1) if len(s) else np.zeros(len(_TIMES), np.uint64)
             sig.append(mix(low).astype(np.uint32).view(np.int32))
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * len(_TIMES), pa.int32()), pa.array(np.concatenate(sig)))
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], names=["id", "n", "d1", "d2", "sig"])
+        sig = np.concatenate(sig)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * TOKENS, pa.int32()), pa.array(sig))
+        short = pa.FixedSizeBinaryArray.from_buffers(pa.binary(TOKENS), len(n), [None, pa.py_buffer(sig.view(np.uint8)[::4].tobytes())]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists, short], names=["id", "n", "d1", "d2", "sig", "short"])
 
-    return docs.select("id", "text").mapInArrow(by_batch(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long, sig array<int>")
+    return docs.select("id", "text").mapInArrow(by_batch(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, d1 long, d2 long, sig array<int>, short binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -131,7 +141,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough.
+
+    b's sets travel with the pairs to a's, of which a task then holds one copy a row.
+    """
     kind = pairs.schema["a"].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,8 +159,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             ok.append(100 * common >= percent * (len(x) + len(y) - common))
         return b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    with_a = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    full = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    full = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
     return full.select("a", "b", "sa", "sb").mapInArrow(by_batch(run), f"a {kind}, b {kind}")
 
 
@@ -155,13 +168,14 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (i, k) among all pairs of sets, as many as connect what similar pairs connect."""
     m, n = len(sets), np.array([len(s) for s in sets], np.int64)
     _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row, common = np.repeat(np.arange(m), n), np.zeros((m, m), np.int64)
+    row, common = np.repeat(np.arange(m), n), np.zeros((m, m), np.int32)
     column = np.where(count >= COMMON, np.cumsum(count >= COMMON) - 1, -1)[at]
-    for lo in range(0, int(column.max(initial=-1)) + 1, 4096):
+    columns = int(column.max(initial=-1)) + 1
+    for lo in range(0, columns, 4096):
         here = (column >= lo) & (column < lo + 4096)
-        held = np.zeros((m, 4096), np.float32)
+        held = np.zeros((m, min(4096, columns - lo)), np.float32)
         held[row[here], column[here] - lo] = 1
-        common += (held @ held.T).astype(np.int64)
+        common += (held @ held.T).astype(np.int32)
     order = np.argsort(at, kind="stable")
     by_shingle, times = row[order], count[at[order]]
     for c in range(2, COMMON):
@@ -169,7 +183,7 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
         for k in range(1, c):
             for x, y in ((r[:, k:], r[:, :-k]), (r[:, :-k], r[:, k:])):
                 np.add.at(common, (x.ravel(), y.ravel()), 1)
-    similar = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    similar = 100 * common.astype(np.int64) >= percent * (n[:, None] + n[None, :] - common)
     out, fresh = [], np.ones(m, bool)
     for start in range(m):
         todo = [start] if fresh[start] else []
@@ -183,6 +197,119 @@ def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def _joined(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label, with those that edges (x, y) connect made equal."""
+    while True:
+        lx, ly = label[x], label[y]
+        if (lx == ly).all():
+            return label
+        low = np.arange(len(label))
+        np.minimum.at(low, lx, ly)
+        np.minimum.at(low, ly, lx)
+        label = low[label]
+
+
+def leaf(short: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidates (i, k) among members, and the dense group of each member, or -1.
+
+    short holds their tokens' bytes, comp their component so far; pairs within
+    a component are no candidates.
+    """
+    m = len(comp)
+    same = np.zeros((m, m), np.uint8)
+    for k in range(TOKENS):
+        t = short[:, k]
+        same += t[:, None] == t[None, :]
+    same[(same < AGREED) | (comp[:, None] == comp[None, :])] = 0
+    none = np.full(m, -1)
+    if not same.any():
+        return none[:0], none[:0], none
+    _, label = np.unique(comp, return_inverse=True)
+    x, y, left = [], [], same.copy()
+    while True:
+        # each label's best pair with another one (ties: any, but the same for all)
+        best = left.argmax(1)
+        how = left[np.arange(m), best]
+        order = np.lexsort((np.arange(m), -how.astype(np.int64), label))
+        first = order[np.concatenate([[True], label[order][1:] != label[order][:-1]])]
+        first = first[how[first] > 0]
+        if not len(first):
+            break
+        x.append(first)
+        y.append(best[first])
+        label = _joined(label, first, best[first])
+        left[label[:, None] == label[None, :]] = 0
+    x, y = np.concatenate(x), np.concatenate(y)
+    with_some = same.any(1)
+    pairs = np.bincount(label, (same > 0).sum(1), minlength=label.max() + 1) / 2
+    members = np.bincount(label, with_some, minlength=len(pairs))
+    dense = pairs > SPARSE * members
+    i, k = np.nonzero(np.triu(same) * ~dense[label][:, None])
+    keep = dense[label[x]]
+    x, y = np.concatenate([x[keep], i]), np.concatenate([y[keep], k])
+    return x, y, np.where(dense[label] & with_some, label, -1)
+
+
+def _leaves(members: DataFrame, kind: str) -> DataFrame:
+    """(grp, a, b) of leaves' members (path, id, comp, short): candidates with a null grp, dense groups' members with a null b."""
+
+    def edges(b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates by row, and (group, row) of dense groups, of whole nodes in order of path."""
+        path = b.column("path").to_numpy()
+        at = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
+        size = np.diff(at)
+        raw = b.column("short").combine_chunks()
+        short = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, TOKENS)
+        comp = pc.dictionary_encode(b.column("comp").combine_chunks()).indices.to_numpy()
+        node = np.repeat(np.arange(len(size)), size)
+        few = (size <= FEW)[node]
+        xs, ys, groups, rows = [], [], [], []
+        for k in range(1, FEW):
+            i = np.flatnonzero(few[:-k] & (node[k:] == node[:-k]) & (comp[k:] != comp[:-k]))
+            i = i[(short[i] == short[i + k]).sum(1) >= AGREED]
+            xs.append(i)
+            ys.append(i + k)
+        for n in np.flatnonzero(size > FEW):
+            here = slice(at[n], at[n + 1])
+            x, y, group = leaf(short[here], comp[here])
+            xs.append(x + at[n])
+            ys.append(y + at[n])
+            mine = np.flatnonzero(group >= 0)
+            groups.append(mix(path[at[n]].astype(np.uint64) + group[mine].astype(np.uint64)).view(np.int64))
+            rows.append(mine + at[n])
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *v]) for v in (xs, ys, groups, rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in _then_none(batches):
+            if batch is None:
+                whole, held = held, None
+            else:
+                held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+                path = held.column("path").to_numpy()
+                cut = int(np.searchsorted(path, path[-1])) if len(path) else 0
+                if not cut:
+                    continue
+                whole, held = held.slice(0, cut), held.slice(cut)
+            if whole is None or not whole.num_rows:
+                continue
+            x, y, group, row = edges(whole)
+            ids = whole.column("id").combine_chunks()
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), ids.take(pa.array(x)), ids.take(pa.array(y))], names=["grp", "a", "b"])
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(group), ids.take(pa.array(row)), pa.nulls(len(row), ids.type)], names=["grp", "a", "b"])
+
+    dealt = members.repartition("path").sortWithinPartitions("path")
+    return dealt.select("path", "id", "comp", "short").mapInArrow(run, f"grp long, a {kind}, b {kind}")
+
+
+def _then_none(batches: Iterator) -> Iterator:
+    yield from batches
+    yield None
+
+
 class _Links:
     """Confirmed links so far, their components, and the sets made for them."""
 
@@ -191,24 +318,33 @@ class _Links:
         self.links = self.comps = self.sets = None
         self.n = 0
 
-    def add(self, pairs: DataFrame) -> None:
-        """Confirms candidates (a, b) and brings the components up to date."""
+    def add(self, pairs: DataFrame, filtered: bool = False) -> None:
+        """Confirms candidates (a, b) and brings the components up to date; filtered: they agree in enough tokens."""
         self.n += 1
-        spark, sig = self.docs.sparkSession, self.reps.select("id", "sig")
-        agree = f"size(filter(zip_with(sa, sb, (x, y) -> x = y), e -> e)) >= {AGREED}"
-        pairs = stored(pairs.distinct(), self.folder, f"pairs-{self.n}")
-        near = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-        near = stored(near.where(agree).select("a", "b"), self.folder, f"near-{self.n}")
-        removed(spark, f"{self.folder}/pairs-{self.n}")
-        self._need(near.select(F.col("a").alias("id")).unionAll(near.select(F.col("b").alias("id"))).distinct())
-        if self.sets is not None:
-            self._found(_confirmed(near, self.sets, self.percent))
-        removed(spark, f"{self.folder}/near-{self.n}")
-
-    def within(self, nodes: DataFrame) -> None:
-        """Links among all members of each of the nodes (path, id), on full sets."""
+        if not filtered:
+            sig = self.reps.select("id", "short")
+            agree = f"size(filter(sequence(1, {TOKENS}), k -> substring(x, k, 1) = substring(y, k, 1))) >= {AGREED}"
+            pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("short").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("short").alias("y")), "b").where(agree)
+        pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), self.folder, f"pairs-{self.n}")
+        if self._need(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()):
+            self._found(_confirmed(pairs, self.sets, self.percent))
+        removed(self.docs.sparkSession, f"{self.folder}/pairs-{self.n}")
+
+    def within(self, groups: DataFrame) -> None:
+        """Links among all members of each of the groups (grp, id) whose members are not all connected, on full sets."""
         self.n += 1
-        percent, kind = self.percent, nodes.schema["id"].dataType.simpleString()
+        spark, percent, kind = self.docs.sparkSession, self.percent, groups.schema["id"].dataType.simpleString()
+        groups = self.labelled(groups).join(self.reps.select("id", "n"), "id")
+        still = groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        # a group beyond a slice's bounds is dealt to slices, and each two of these meet in a task
+        slices = F.expr(f"cast(if(shingles <= {SLICE_SHINGLES} AND m <= {SLICE_MEMBERS}, 1, greatest(2, ceil(2 * shingles / {SLICE_SHINGLES}), ceil(2 * m / {SLICE_MEMBERS}))) AS int)")
+        still = stored(still.select("grp", slices.alias("k")), self.folder, f"still-{self.n}")
+        if still.isEmpty():
+            return
+        mine = "cast(pmod(xxhash64(id, grp), k) AS int)"
+        met = F.explode(F.expr(f"if(k = 1, array(0), transform(filter(sequence(0, k - 1), j -> j != {mine}), j -> least(j, {mine}) * k + greatest(j, {mine})))"))
+        dealt = stored(groups.join(still, "grp").select("grp", met.alias("cell"), "id"), self.folder, f"dealt-{self.n}")
+        self._need(dealt.select("id").distinct())
 
         def run(t: pa.Table) -> pa.Table:
             ids = t.column("id").combine_chunks()
@@ -216,12 +352,12 @@ class _Links:
             a, b = (ids.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1))
             return pa.table({"a": a, "b": b})
 
-        self._need(nodes.select("id").distinct())
-        found = nodes.join(self.sets, "id").select("path", "id", "set").groupBy("path").applyInArrow(run, f"a {kind}, b {kind}")
+        found = dealt.join(self.sets, "id").select("grp", "cell", "id", "set").groupBy("grp", "cell").applyInArrow(run, f"a {kind}, b {kind}")
         self._found(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+        removed(spark, f"{self.folder}/still-{self.n}", f"{self.folder}/dealt-{self.n}")
 
-    def _need(self, ids: DataFrame) -> None:
-        """Makes the sets of these ids that are not there yet."""
+    def _need(self, ids: DataFrame) -> bool:
+        """Makes the sets of these ids that are not there yet; whether there are sets at all."""
         if self.sets is not None:
             ids = ids.join(self.sets.select("id"), "id", "left_anti")
         ids = stored(ids.join(self.reps.select("id", "d1"), "id"), self.folder, f"ids-{self.n}")
@@ -229,6 +365,7 @@ class _Links:
             new = stored(_sets(self.docs, F.broadcast(ids) if count <= BROADCAST_IDS else ids, self.size), self.folder, f"sets-{self.n}")
             self.sets = new if self.sets is None else self.sets.unionAll(new)
         removed(self.docs.sparkSession, f"{self.folder}/ids-{self.n}")
+        return self.sets is not None
 
     def _found(self, links: DataFrame) -> None:
         found = stored(links, self.folder, f"links-{self.n}")
@@ -243,61 +380,58 @@ class _Links:
         return rows.join(self.comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
+def _roots(reps: DataFrame, first: int, trees: int) -> DataFrame:
+    """(path, id): the root nodes of so many trees."""
+    return reps.select(F.explode(F.expr(f"transform(sequence({first}, {first + trees - 1}), c -> xxhash64(c, sig[c % {TOKENS}]))")).alias("path"), "id")
+
+
 def _branched(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """rows (path, id) with the paths of the next level; all members of a node use the same tokens."""
-    first = f"cast(pmod(xxhash64(path, c), {TOKENS}) AS int)"
-    second = f"cast(pmod({first} + 1 + pmod(xxhash64(c, path), {TOKENS - 1}), {TOKENS}) AS int)"
-    paths = F.expr(f"transform(sequence(0, {BRANCHES - 1}), c -> xxhash64(path, c, sig[{first}], sig[{second}]))")
+    """rows (path, id) with the paths of the next level: one token of the path's choice, for a third of the paths a second."""
+    token = lambda salt: f"sig[cast(pmod(xxhash64(path, {salt}), {TOKENS}) AS int)]"
+    first, second = (f"xxhash64(path, {k}, {token(k)})" for k in (1, 2))
+    paths = F.expr(f"if(pmod(xxhash64(path, 3), 3) = 0, array({first}, {second}), array({first}))")
     return rows.join(reps.select("id", "sig"), "id").select(F.explode(paths).alias("path"), "id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, small: int = SMALL, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bound: int = BOUND, depth: int = DEPTH) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema["id"].dataType.simpleString()
     sigs = stored(signatures(docs, size), folder, "sigs")
     in_class = sigs.where("id IS NOT NULL AND n > 0")
-    reps = stored(in_class.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n")), folder, "reps")
+    reps = stored(in_class.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("short").alias("short"), F.first("n").alias("n")), folder, "reps")
     links = _Links(docs, reps, folder, size, percent)
-    roots = F.explode(F.expr(f"transform(sequence(0, {TREES - 1}), c -> xxhash64(c, sig[c]))"))
-    rows, level = reps.select(roots.alias("path"), "id"), 1
+    rows, level, small, groups = _roots(reps, 0, TREES), 0, [], []
     while True:
-        if level == 1:
-            nodes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).where("size > 1")
-            members = stored(rows.join(stored(nodes, folder, "nodes-1"), "path"), folder, "members-1")
-            stars = members.where("id > pivot")
-        else:
-            rows = stored(links.labelled(rows), folder, f"rows-{level}")
-            turn = F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id", "comp")
-            nodes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min(turn).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            nodes = stored(nodes.select("path", "size", F.col("p.id").alias("pivot"), F.col("p.comp").alias("pivot_comp")), folder, f"nodes-{level}")
-            members = stored(rows.join(nodes, "path"), folder, f"members-{level}")
-            removed(spark, f"{folder}/rows-{level}")
-            stars = members.where("comp != pivot_comp")
-        removed(spark, f"{folder}/nodes-{level}", f"{folder}/open-{level - 1}")
-        links.add(stars.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")))
-        # what is left are nodes whose members are not all connected yet
-        own = stored(links.labelled(members.select("path", "id", "size")), folder, f"own-{level}")
-        parts = own.groupBy("path", "comp").agg(F.count("*").alias("c")).groupBy("path").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("across"))
-        several = parts.where("across > 0")
-        left = stored(own.join(stored(several, folder, f"several-{level}"), "path"), folder, f"open-{level}")
-        removed(spark, f"{folder}/members-{level}", f"{folder}/own-{level}", f"{folder}/several-{level}")
-        some = left if level >= depth else left.where(F.col("across") <= small * small / 2)
-        some = some.select("path", F.col("id").alias("a"), "comp")
-        other = some.select("path", F.col("a").alias("b"), F.col("comp").alias("other"))
-        links.add(some.join(other, "path").where("a < b AND comp != other").select("a", "b"))
-        rows = left.where(F.col("across") > small * small / 2).select("path", "id")
-        if 1 < level < depth and not rows.isEmpty():
-            held = rows.join(reps.select("id", "n"), "id").groupBy("path").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
-            held = stored(held.select("path", F.expr(f"m <= {block} AND shingles <= {BLOCK_SHINGLES}").alias("fits")), folder, f"held-{level}")
-            split = stored(rows.join(held, "path"), folder, f"split-{level}")
-            removed(spark, f"{folder}/held-{level}", f"{folder}/split-{level - 1}")
-            rows = split.where("NOT fits").select("path", "id")
-            if not split.where("fits").isEmpty():
-                links.within(split.where("fits").select("path", "id"))
-        if level >= depth or rows.isEmpty():
+        turn = F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id")
+        nodes = stored(rows.groupBy("path").agg(F.count("*").alias("m"), F.min(turn).alias("p")).where("m > 1").select("path", "m", "p.id").withColumnRenamed("id", "pivot"), folder, f"nodes-{level}")
+        leaves = rows.join(nodes.where(F.col("m") <= bound).select("path"), "path")
+        small.append(leaves)
+        large = nodes.where(F.col("m") > bound)
+        if large.isEmpty():
+            break
+        held = stored(rows.join(large, "path"), folder, f"large-{level}")
+        links.add(held.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        labelled = stored(links.labelled(held.select("path", "id")), folder, f"labelled-{level}")
+        still = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("path")
+        rows = stored(labelled.join(still, "path").select("path", "id"), folder, f"open-{level}")
+        removed(spark, f"{folder}/large-{level}", f"{folder}/labelled-{level}")
+        if level == depth:
+            groups.append(rows.withColumnRenamed("path", "grp"))
             break
-        rows, level = _branched(rows, reps), level + 1
+        more = _branched(rows, reps)
+        if level == 0:
+            more = more.unionAll(_roots(reps.join(rows.select("id").distinct(), "id", "left_semi"), TREES, MORE_TREES))
+        rows, level = stored(more.distinct(), folder, f"rows-{level + 1}"), level + 1
+    members = small[0]
+    for one in small[1:]:
+        members = members.unionAll(one)
+    found = stored(_leaves(links.labelled(members).join(reps.select("id", "short"), "id"), kind), folder, "leaves")
+    links.add(found.where("b IS NOT NULL").select("a", "b"), filtered=True)
+    groups.append(found.where("grp IS NOT NULL").select("grp", F.col("a").alias("id")))
+    for one in groups:
+        links.within(one)
     comps = links.comps
     tops = reps.select("d1", "d2", "id")
     if comps is not None:
@@ -305,13 +439,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         tops = tops.select("d1", "d2", F.col("id").alias("component_id"))
     tops = stored(tops, folder, "tops")
-    removed(spark, f"{folder}/reps", f"{folder}/open-{level}", *(f"{folder}/sets-{k}" for k in range(1, links.n + 1)))
+    removed(spark, f"{folder}/reps", f"{folder}/leaves", *(f"{folder}/{what}-{k}" for k in range(level + 1) for what in ("nodes", "open", "rows")), *(f"{folder}/{what}-{k}" for k in range(1, links.n + 1) for what in ("sets", "links", "comps")))
     out = sigs.select("id", "n", "d1", "d2").join(tops, ["d1", "d2"], "left")
     comp = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns, that are kept: of each component the one of smallest id, and those without an id."""
+    """The documents, all columns, that are kept: of each component the one of smallest id, and those without an id.
+
+    Rows of a kept id are kept, also where they repeat.
+    """
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col(id_col).alias("__kept")).where("__kept IS NOT NULL").distinct()
     return docs.where(F.col(id_col).isNull()).unionAll(docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi"))

@@ -12,6 +12,7 @@ BLOCK = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
+_KEYS = np.zeros(0, np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,10 +83,31 @@ def word_spans(raw: np.ndarray, at: np.ndarray, apart: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(start, at)
 
 
+def _keys(n: int) -> np.ndarray:
+    """An odd random multiplier for each place in a word."""
+    global _KEYS
+    if len(_KEYS) < n:
+        _KEYS = mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+    return _KEYS
+
+
 def words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray, fold: np.ndarray = BYTES) -> tuple[np.ndarray, np.ndarray]:
-    """Each word's hash, and the offsets of the texts' words; fold: each byte value's number."""
+    """Each word's hash, and the offsets of the texts' words; fold: each byte value's number.
+
+    Every place in a word has a random multiplier of its own (powers of one
+    number would make regular words of 1,024 letters collide).
+    """
     start, end, word_at = word_spans(raw, at, apart)
-    return span_hash(prefix_sums(fold[raw]), start, end), word_at
+    if not len(start):
+        return np.zeros(0, np.uint64), word_at
+    keys = _keys(int((end - start).max()))
+    begin = np.zeros(len(raw), np.int32)
+    begin[start] = start
+    place = np.arange(len(raw), dtype=np.int32)
+    place -= np.maximum.accumulate(begin, out=begin)
+    values = np.where(apart, np.uint64(0), fold)[raw]
+    values *= keys.take(place, mode="clip")
+    return mix(np.add.reduceat(values, start)), word_at
 
 
 def separators(inside: str) -> np.ndarray:
