@@ -8,13 +8,13 @@ copies are never compared with each other.
 Trees of paths find candidates. At the root of each tree, each document
 branches on one of its 64 minwise tokens; documents that share it share a
 node. A node of up to `bound` members is a leaf: one task compares its members
-exhaustively by their tokens. A larger node first compares everything with one
-member, the pivot, and is done if that connects all its members (more
-comparisons could not change any component). Else its members branch on: each
-follows one further token, and with a probability of 1/3 a second one, so that
-a pair of similarity 0.75 has one common path a level to go on. Members of
-nodes that branch get further independent trees. Nodes that are still large
-at `depth` are compared exhaustively, in slices.
+exhaustively by their tokens. A larger node's members are first dealt to leaves
+at random, twice; it is done if that connects them all (more comparisons could
+not change any component). Else its members branch on: each follows one further
+token, and with a probability of 1/3 a second one, so that a pair of similarity
+0.75 has one common path a level to go on. Members of three or more large root
+nodes get further independent trees. Nodes that are still large at `depth` are
+compared exhaustively, in slices.
 
 In a leaf, members that agree in 28 of 64 tokens are candidates. Where they are
 few, all of them go on. In a dense group only a spanning forest does, of the
@@ -28,8 +28,9 @@ Only documents with candidates have their sets made and written; links, nodes
 and components stay in tables in the shared folder.
 
 `missed` computes the chance that a pair of similarity 0.75 meets in no leaf or
-agrees in fewer than 28 tokens: 9e-8 where root nodes are leaves, 4e-5 below
-ten branchings; any link to its component will do. tests/llm measures recall
+agrees in fewer than 28 tokens: 9e-8 where root nodes are leaves (1e-6 if two
+are not), 5e-5 below ten branchings; any link to its component will do, also
+one found in a random leaf. tests/llm measures recall
 against brute force on families whose members are just below the threshold.
 
 Defined results: null and empty texts and those without words have an empty
@@ -57,7 +58,9 @@ from bandscan.llm.components import components
 from bandscan.llm.numtext import FOLDED, blocks, mix, separators, words
 
 #: Trees of all documents, further trees of members of nodes that branch, minwise tokens, levels.
-TREES, MORE_TREES, TOKENS, DEPTH = 12, 24, 64, 10
+TREES, MORE_TREES, TOKENS, DEPTH = 12, 24, 64, 24
+#: Large root nodes from which on a document gets further trees, and times that a large node's members are dealt at random to leaves.
+OFTEN, TURNS = 3, 2
 #: Tokens in which a candidate agrees at least, and members of a leaf.
 AGREED, BOUND = 28, 2000
 #: Members of nodes whose pairs are listed without a matrix, and candidates a member in a group that is not dense.
@@ -311,20 +314,16 @@ def _then_none(batches: Iterator) -> Iterator:
 
 
 class _Links:
-    """Confirmed links so far, their components, and the sets made for them."""
+    """Components of the confirmed links so far, and the sets made for them."""
 
     def __init__(self, docs: DataFrame, reps: DataFrame, folder: str, size: int, percent: int):
         self.docs, self.reps, self.folder, self.size, self.percent = docs, reps, folder, size, percent
-        self.links = self.comps = self.sets = None
+        self.comps = self.sets = None
         self.n = 0
 
-    def add(self, pairs: DataFrame, filtered: bool = False) -> None:
-        """Confirms candidates (a, b) and brings the components up to date; filtered: they agree in enough tokens."""
+    def add(self, pairs: DataFrame) -> None:
+        """Confirms candidates (a, b) and brings the components up to date."""
         self.n += 1
-        if not filtered:
-            sig = self.reps.select("id", "short")
-            agree = f"size(filter(sequence(1, {TOKENS}), k -> substring(x, k, 1) = substring(y, k, 1))) >= {AGREED}"
-            pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("short").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("short").alias("y")), "b").where(agree)
         pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), self.folder, f"pairs-{self.n}")
         if self._need(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()):
             self._found(_confirmed(pairs, self.sets, self.percent))
@@ -368,10 +367,20 @@ class _Links:
         return self.sets is not None
 
     def _found(self, links: DataFrame) -> None:
-        found = stored(links, self.folder, f"links-{self.n}")
+        """Brings the components up to date: new links are taken between components so far."""
+        found, folder = stored(links, self.folder, f"links-{self.n}"), f"{self.folder}/comps-{self.n}"
+        if self.comps is not None:
+            ends = [self.comps.select(F.col("id").alias(x), F.col("comp").alias(f"of_{x}")) for x in ("a", "b")]
+            found = found.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+            found = stored(found.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), self.folder, f"across-{self.n}")
         if not found.isEmpty():
-            self.links = found if self.links is None else self.links.unionAll(found)
-            self.comps = components(self.links, f"{self.folder}/comps-{self.n}")
+            new, old = components(found, folder), self.comps
+            if old is not None:
+                up = new.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
+                moved = old.join(up, "comp", "left").select("id", F.coalesce("up", "comp").alias("comp"))
+                new = stored(moved.unionAll(new.join(old.select("id"), "id", "left_anti").select("id", "comp")), folder, "all")
+            self.comps = new
+        removed(self.docs.sparkSession, f"{self.folder}/links-{self.n}", f"{self.folder}/across-{self.n}")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
         """Adds each id's component so far."""
@@ -401,18 +410,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = stored(signatures(docs, size), folder, "sigs")
     in_class = sigs.where("id IS NOT NULL AND n > 0")
     reps = stored(in_class.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("short").alias("short"), F.first("n").alias("n")), folder, "reps")
-    links = _Links(docs, reps, folder, size, percent)
+    links, short = _Links(docs, reps, folder, size, percent), reps.select("id", "short")
     rows, level, small, groups = _roots(reps, 0, TREES), 0, [], []
     while True:
-        turn = F.struct(F.xxhash64("id", F.lit(level)).alias("h"), "id")
-        nodes = stored(rows.groupBy("path").agg(F.count("*").alias("m"), F.min(turn).alias("p")).where("m > 1").select("path", "m", "p.id").withColumnRenamed("id", "pivot"), folder, f"nodes-{level}")
-        leaves = rows.join(nodes.where(F.col("m") <= bound).select("path"), "path")
-        small.append(leaves)
+        nodes = stored(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), folder, f"nodes-{level}")
+        small.append(rows.join(nodes.where(F.col("m") <= bound).select("path"), "path"))
         large = nodes.where(F.col("m") > bound)
         if large.isEmpty():
             break
         held = stored(rows.join(large, "path"), folder, f"large-{level}")
-        links.add(held.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+        for turn in range(TURNS):
+            part = f"xxhash64(path, {turn}, pmod(xxhash64(id, {level}, {turn}), ceil(2 * m / {bound})))"
+            tried = links.labelled(held.selectExpr(f"{part} AS path", "id"))
+            found = _leaves(tried.join(short, "id"), kind).where("b IS NOT NULL").select("a", "b")
+            links.add(found)
         labelled = stored(links.labelled(held.select("path", "id")), folder, f"labelled-{level}")
         still = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("path")
         rows = stored(labelled.join(still, "path").select("path", "id"), folder, f"open-{level}")
@@ -422,13 +433,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         more = _branched(rows, reps)
         if level == 0:
-            more = more.unionAll(_roots(reps.join(rows.select("id").distinct(), "id", "left_semi"), TREES, MORE_TREES))
+            often = rows.groupBy("id").agg(F.count("*").alias("c")).where(f"c >= {OFTEN}").select("id")
+            more = more.unionAll(_roots(reps.join(often, "id", "left_semi"), TREES, MORE_TREES))
         rows, level = stored(more.distinct(), folder, f"rows-{level + 1}"), level + 1
     members = small[0]
     for one in small[1:]:
         members = members.unionAll(one)
-    found = stored(_leaves(links.labelled(members).join(reps.select("id", "short"), "id"), kind), folder, "leaves")
-    links.add(found.where("b IS NOT NULL").select("a", "b"), filtered=True)
+    found = stored(_leaves(links.labelled(members).join(short, "id"), kind), folder, "leaves")
+    links.add(found.where("b IS NOT NULL").select("a", "b"))
     groups.append(found.where("grp IS NOT NULL").select("grp", F.col("a").alias("id")))
     for one in groups:
         links.within(one)
@@ -439,7 +451,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         tops = tops.select("d1", "d2", F.col("id").alias("component_id"))
     tops = stored(tops, folder, "tops")
-    removed(spark, f"{folder}/reps", f"{folder}/leaves", *(f"{folder}/{what}-{k}" for k in range(level + 1) for what in ("nodes", "open", "rows")), *(f"{folder}/{what}-{k}" for k in range(1, links.n + 1) for what in ("sets", "links", "comps")))
+    removed(spark, f"{folder}/reps", f"{folder}/leaves", *(f"{folder}/{what}-{k}" for k in range(level + 1) for what in ("nodes", "open", "rows")), *(f"{folder}/{what}-{k}" for k in range(1, links.n + 1) for what in ("sets", "comps")))
     out = sigs.select("id", "n", "d1", "d2").join(tops, ["d1", "d2"], "left")
     comp = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))

@@ -93,7 +93,7 @@ def tight_family(members, partners):
     return rows
 
 
-@pytest.mark.parametrize("members,bound", [(2000, 2000), (5000, 2000)])
+@pytest.mark.parametrize("members,bound", [(2000, 2000), (3000, 2000)])
 def test_recall_in_a_tight_family(spark, members, bound):
     """By construction each partner is linked with its document, and nothing else is linked."""
     rows = tight_family(members, 200)
