@@ -24,6 +24,9 @@ class Patterns:
         if not len(patterns) or self.lengths.min() == 0:
             raise ValueError("a pattern needs a symbol")
         self.limbs = int(-(-self.lengths.max() // 64))
+        #: The narrowest words that hold a column, and scores.
+        self.word = next(t for t, bits in ((np.uint16, 16), (np.uint32, 32), (np.uint64, 1 << 62)) if self.lengths.max() <= bits)
+        self.score = np.int16 if self.lengths.max() < 1 << 14 else np.int32
         self.alphabet = np.unique(np.concatenate(patterns))
         width = len(self.alphabet) + 1  # the last symbol matches nothing
         self.width = width
@@ -38,6 +41,11 @@ class Patterns:
                 self.mask[w, k] = ALL if bits == 64 else (ONE << np.uint64(bits)) - ONE
 
     def encoded(self, text: np.ndarray) -> np.ndarray:
+        """Symbols as places in the alphabet; all others get the place after its end."""
+        if len(text) and self.alphabet[-1] < 1 << 16:
+            table = np.full(int(self.alphabet[-1]) + 2, len(self.alphabet), np.int64)
+            table[self.alphabet] = np.arange(len(self.alphabet))
+            return table.take(text, mode="clip")
         at = np.minimum(np.searchsorted(self.alphabet, text), len(self.alphabet) - 1)
         return np.where(self.alphabet[at] == text, at, len(self.alphabet)).astype(np.int64)
 
@@ -78,25 +86,42 @@ def lane_scores(patterns: Patterns, which: np.ndarray, texts: list[np.ndarray],
     codes = np.full((steps, len(texts)), len(patterns.alphabet), np.int64)
     for k, t in enumerate(texts):
         codes[: len(t), k] = patterns.encoded(t)
-    run = _one_limb if patterns.limbs == 1 else _many_limbs
-    return run(patterns, which, codes, of, metric, anchor)
-
-
-def _one_limb(patterns: Patterns, which: np.ndarray, codes: np.ndarray, of: np.ndarray, metric: str, anchor: str) -> np.ndarray:
-    """Patterns of up to 64 symbols; all steps work in place."""
-    n = len(which)
-    base, mask, eq = which * patterns.width, patterns.mask[0][which], patterns.eq[0]
-    top = patterns.top_bit[which]
-    pv, mv, xb, db = mask.copy(), np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    x, d, t, u = (np.empty(n, np.uint64) for _ in range(4))
-    at, score = np.empty(n, np.int64), patterns.lengths[which].astype(np.int32)
-    out = np.empty((len(codes), n), np.int32)
+    if patterns.limbs > 1:
+        return _many_limbs(patterns, which, codes, of, metric, anchor)
+    base, eq = which * patterns.width, patterns.eq[0].astype(patterns.word)
+
+    def masks(j: int, out: np.ndarray) -> None:
+        eq.take(codes[j].take(of) + base, out=out, mode="clip")
+
+    return _one_limb(patterns, which, masks, steps, metric, anchor)
+
+
+def crossed_scores(patterns: Patterns, which: np.ndarray, codes: np.ndarray, metric: str = "compat", anchor: str = "any") -> np.ndarray:
+    """scores[j, lane] of all texts, given as encoded columns of codes, by all patterns of which; patterns vary fastest."""
+    texts = codes.shape[1]
+    lanes = np.tile(which, texts)
+    if patterns.limbs > 1:
+        return _many_limbs(patterns, lanes, codes, np.repeat(np.arange(texts), len(which)), metric, anchor)
+    rows = np.ascontiguousarray(patterns.eq[0].reshape(-1, patterns.width)[which].T.astype(patterns.word))
+
+    def masks(j: int, out: np.ndarray) -> None:
+        rows.take(codes[j], axis=0, out=out.reshape(texts, len(which)), mode="clip")
+
+    return _one_limb(patterns, lanes, masks, len(codes), metric, anchor)
+
+
+def _one_limb(patterns: Patterns, which: np.ndarray, masks, steps: int, metric: str, anchor: str) -> np.ndarray:
+    """Patterns of up to 64 symbols, in words no wider than needed; all steps work in place. masks(j, out) gives step j's match masks."""
+    n, word = len(which), patterns.word
+    one, mask = word(1), patterns.mask[0][which].astype(word)
+    top = patterns.top_bit[which].astype(word)
+    pv, mv, xb, db = mask.copy(), np.zeros(n, word), np.zeros(n, word), np.zeros(n, word)
+    x, d, t, u = (np.empty(n, word) for _ in range(4))
+    score, out = patterns.lengths[which].astype(patterns.score), np.empty((steps, n), patterns.score)
     compat, swaps, start = metric == "compat", metric != "levenshtein", anchor == "start"
-    both, bor, bxor, inv = np.bitwise_and, np.bitwise_or, np.bitwise_xor, np.invert
-    for j in range(len(codes)):
-        codes[j].take(of, out=at, mode="clip")
-        at += base
-        eq.take(at, out=x, mode="clip")
+    both, bor, inv = np.bitwise_and, np.bitwise_or, np.invert
+    for j in range(steps):
+        masks(j, x)
         if compat:
             x |= mv
         both(x, pv, out=d)
@@ -107,7 +132,7 @@ def _one_limb(patterns: Patterns, which: np.ndarray, codes: np.ndarray, of: np.n
         if swaps:
             inv(db, out=t)
             t &= x
-            t <<= ONE
+            t <<= one
             t &= xb
             d |= t
         bor(d, pv, out=t)
@@ -115,20 +140,20 @@ def _one_limb(patterns: Patterns, which: np.ndarray, codes: np.ndarray, of: np.n
         t |= mv  # rises
         pv &= d  # falls
         np.right_shift(t, top, out=u)
-        u &= ONE
-        score += u.astype(np.int32)
+        u &= one
+        np.add(score, u, out=score, casting="unsafe")
         np.right_shift(pv, top, out=u)
-        u &= ONE
-        score -= u.astype(np.int32)
+        u &= one
+        np.subtract(score, u, out=score, casting="unsafe")
         out[j] = score
-        t <<= ONE
+        t <<= one
         if start:
-            t |= ONE
+            t |= one
         both(d, t, out=mv)
         mv &= mask
         bor(d, t, out=t)
         inv(t, out=t)
-        pv <<= ONE
+        pv <<= one
         pv |= t
         pv &= mask
         x, xb, d, db = xb, x, db, d

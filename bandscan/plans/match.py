@@ -1,16 +1,20 @@
 """Patterns against texts: pairing, chunking, scan, and the merge of chunk results.
 
-The text side is scanned once, in chunks, and only chunk summaries (lowest
-score, its positions, hits, last score) are shuffled, never text. Patterns go
-to every task, because every pattern meets every text: while their measured
-size is below a bound they travel with the task, beyond it they are joined as
-blocks of rows. Lanes of one batch run in lockstep in numpy; short patterns
-can instead stay in SQL (engine 'sql').
+A text of up to a chunk is scanned by one task and its pairs need no shuffle.
+Longer texts are cut into chunks, which are dealt out over all tasks, and only
+chunk summaries (lowest score, its positions, hits, last score) are merged.
+Inside a task, texts are cut again into short pieces that overlap, so that
+thousands of lanes of like length run in lockstep in numpy; short patterns can
+instead stay in SQL (engine 'sql'). Patterns go to every task, because every
+pattern meets every text: while their measured size is below a bound they
+travel with the task, beyond it one block of them after the other meets the
+texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,76 +22,117 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandscan.functions import sqlkernel
-from bandscan.functions.lockstep import Patterns, lane_scores, symbols
+from bandscan.functions.lockstep import Patterns, crossed_scores, symbols
 from bandscan.functions.metrics import checked
 from bandscan.plans.chunking import with_chunks
 
-CHUNK, LANES, CELLS = 16_384, 8_192, 8 << 20
-#: Bytes of patterns that travel with a task, and patterns in a joined block.
-CLOSURE_BYTES, BLOCK = 8 << 20, 512
+#: Symbols of a chunk that one task scans, of a piece of it, lanes of a batch, and scores held at once.
+CHUNK, PIECE, LANES, CELLS = 1 << 18, 1024, 8_192, 1 << 24
+#: Bytes of patterns that travel with a task, and of a block of more patterns.
+CLOSURE_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
 
-PART = "pattern_id long, text_id long, m int, n long, start long, low int, low_at array<long>, hits array<long>, last int"
+KEYS = "pattern_id long, text_id long, m int, n long, start long, low int, "
+PART = KEYS + "low_at array<long>, hits array<long>, last int"
+COUNTED = KEYS + "n_low long, n_hits long, last int"
 
 
-def _lists(mask: np.ndarray, offset: np.ndarray) -> pa.Array:
-    """Each lane's positions where the mask (lanes, steps) holds, as a list column."""
-    at = np.flatnonzero(mask)
-    lane, step = np.divmod(at, max(1, mask.shape[1]))
-    ends = np.concatenate([[0], np.cumsum(np.bincount(lane, minlength=mask.shape[0]))])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(step + offset[lane], pa.int64()))
+def _lists(key: np.ndarray, pos: np.ndarray, n: int) -> pa.Array:
+    """The positions of each key in order, as a list column of n rows."""
+    order = np.lexsort((pos, key))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(key, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[order], pa.int64()))
 
 
 class Scanner:
-    """Scans chunks with a list of (id, pattern)."""
+    """Scans chunks with a list of (id, pattern); results: 'lists', 'counts', or 'scores' for lists and all scores."""
 
-    def __init__(self, patterns: list, metric: str, unit: str, anchor: str, scores: bool):
-        self.options, self.unit, self.scores = (metric, anchor), unit, scores
+    def __init__(self, patterns: list, metric: str, unit: str, anchor: str, results: str):
+        self.options, self.unit, self.results, self.anchor = (metric, anchor), unit, results, anchor
         seqs = symbols([p for _, p in patterns], unit)
-        by_limbs: dict[int, list[int]] = {}
+        by_size: dict[int, list[int]] = {}
         for k, s in enumerate(seqs):
             if len(s):
-                by_limbs.setdefault(-(-len(s) // 64), []).append(k)
-        self.groups = [(np.array([patterns[k][0] for k in ks], np.int64), Patterns([seqs[k] for k in ks])) for ks in by_limbs.values()]
+                by_size.setdefault(next(b for b in (16, 32, 64 * -(-len(s) // 64)) if len(s) <= b), []).append(k)
+        self.groups = [(np.array([patterns[k][0] for k in ks], np.int64), Patterns([seqs[k] for k in ks])) for ks in by_size.values()]
 
     def run(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Chunks (text_id, n, start, own_len, lead, piece) to PART rows."""
-        ids, n, start, own, lead = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5))
-        texts = symbols(b.column(5).to_pylist(), self.unit)
-        order = np.argsort([len(t) for t in texts], kind="stable")
-        for pattern_ids, patterns in self.groups:
-            per = max(1, LANES // len(pattern_ids))
-            k = 0
-            while k < len(order):
-                size = per
-                while size > 1 and len(texts[order[min(k + size, len(order)) - 1]]) * size * len(pattern_ids) > CELLS:
-                    size //= 2
-                some = order[k : k + size]
-                k += size
-                for lo in range(0, len(pattern_ids), LANES):
-                    which = np.arange(lo, min(lo + LANES, len(pattern_ids)))
-                    w, t = np.tile(which, len(some)), np.repeat(np.arange(len(some)), len(which))
-                    got = lane_scores(patterns, w, [texts[i] for i in some], t, *self.options)
-                    yield self.result(got, patterns.lengths[w], pattern_ids[w], *(x[some][t] for x in (ids, n, start, own, lead)))
-
-    def result(self, got, m, pattern_id, text_id, n, start, own, lead) -> pa.RecordBatch:
-        got = np.ascontiguousarray(got.T)  # (lanes, steps)
-        step, end = np.arange(got.shape[1]), lead + own
-        none = np.iinfo(np.int32).max
-        last = np.where(own > 0, got[np.arange(len(m)), np.maximum(end - 1, 0)] if got.shape[1] else -1, -1)
-        mine = None
-        if lead.any() or (end < got.shape[1]).any() or self.scores:
-            mine = (step >= lead[:, None]) & (step < end[:, None])
-            whole = got
-            got = np.where(mine, got, none)
-        low = np.minimum(got.min(1, initial=none), m).astype(np.int32)
-        offset = start - lead
-        ties = _lists(got == low[:, None], offset)
-        hits = _lists(got == 0, offset) if (low == 0).any() else pa.ListArray.from_arrays(pa.array(np.zeros(len(m) + 1), pa.int32()), pa.array([], pa.int64()))
-        cols = [pa.array(pattern_id), pa.array(text_id), pa.array(m, pa.int32()), pa.array(n), pa.array(start), pa.array(low), ties, hits, pa.array(last, pa.int32())]
-        names = ["pattern_id", "text_id", "m", "n", "start", "low", "low_at", "hits", "last"]
-        if self.scores:
-            ends = np.concatenate([[0], np.cumsum(own)])
-            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(whole[mine], pa.int32())))
+        """Chunks (text_id, n, start, own_len, lead, piece) to rows of PART or COUNTED, a few texts and patterns at a time."""
+        facts = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+        own, texts = facts[3], symbols(b.column(5).to_pylist(), self.unit)
+        at = np.cumsum([0, *map(len, texts)])
+        flat = np.concatenate(texts)
+        for ids, patterns in self.groups:
+            codes, lo = patterns.encoded(flat), 0
+            while lo < len(own):
+                hi = max(lo + 1, int(np.searchsorted(np.cumsum(own[lo:] + 1), CELLS // len(ids), "right")) + lo)
+                some = max(1, min(len(ids), LANES, CELLS // int(own[lo:hi].sum() + 1)))
+                for k in range(0, len(ids), some):
+                    yield self.block(patterns, ids, np.arange(k, min(k + some, len(ids))), codes, at[lo:hi], *(x[lo:hi] for x in facts))
+                lo = hi
+
+    def block(self, patterns, all_ids, which, codes, at, text_id, n, start, own, lead) -> pa.RecordBatch:
+        """All patterns of which by some chunks, cut into pieces that read as far back as a score depends on."""
+        width, rows = len(which), len(own)
+        size = PIECE if self.anchor == "any" else int(own.max(initial=1)) + 1
+        pieces = np.maximum(1, -(-own // size))
+        row = np.repeat(np.arange(rows), pieces)
+        first = np.cumsum(pieces) - pieces
+        begin = lead[row] + (np.arange(len(row)) - first[row]) * size
+        end = np.minimum(begin + size, lead[row] + own[row])
+        back = 2 * int(patterns.lengths[which].max()) if self.anchor == "any" else 0
+        read = np.maximum(0, begin - back)
+        m = patterns.lengths[which].astype(np.int64)
+        low, last = np.empty((len(row), width), np.int64), np.full((len(row), width), -1, np.int64)
+        n_low, n_hits = np.zeros((len(row), width), np.int64), np.zeros((len(row), width), np.int64)
+        ties, values = [], []
+        order = np.argsort((end - read) * (1 << 20) + (begin - read), kind="stable")
+        per = max(1, LANES // width)
+        for k in range(0, len(order), per):
+            g = order[k : k + per]
+            steps = int((end[g] - read[g]).max())
+            step = np.arange(steps)[:, None]
+            here = np.minimum(at[row[g]] + read[g] + step, max(0, len(codes) - 1))
+            got = crossed_scores(patterns, which, np.where(step < end[g] - read[g], codes[here] if len(codes) else 0, len(patterns.alphabet)), *self.options)
+            got = got.reshape(steps, len(g), width)
+            a, z = begin[g] - read[g], end[g] - read[g]
+            some = np.flatnonzero(z > a)
+            last[g[some]] = got[z[some] - 1, some]
+            if self.results == "scores":
+                values += [got[a[i] : z[i], i].T for i in range(len(g))]
+            if (a == a[0]).all() and (z == z[0]).all():
+                got, a0 = got[a[0] : z[0]], int(a[0])
+            else:
+                got[(step < a) | (step >= z)], a0 = np.iinfo(got.dtype).max, 0
+            best = np.minimum(got.min(0, initial=np.iinfo(got.dtype).max), m)
+            equal = got == best.astype(got.dtype)
+            low[g] = best
+            n_low[g] = np.add.reduce(equal.view(np.int8), axis=0, dtype=np.int32)
+            if self.results != "counts":
+                s, i, p = np.nonzero(equal)
+                ties.append((g[i], p, start[row[g[i]]] - lead[row[g[i]]] + read[g[i]] + a0 + s))
+        n_hits[low == 0] = n_low[low == 0]
+        row_low = np.minimum.reduceat(low, first)
+        mine = low == row_low[row]
+        table = [np.tile(all_ids[which], rows), np.repeat(text_id, width), np.tile(m, rows).astype(np.int32), np.repeat(n, width), np.repeat(start, width), row_low.ravel().astype(np.int32)]
+        names = ["pattern_id", "text_id", "m", "n", "start", "low"]
+        if self.results == "counts":
+            lists = [np.add.reduceat(np.where(mine, n_low, 0), first).ravel(), np.add.reduceat(n_hits, first).ravel()]
+            names += ["n_low", "n_hits", "last"]
+        else:
+            sub, p, pos = (np.concatenate(x) for x in zip(*ties))
+            keep = mine[sub, p]
+            key, pos = row[sub[keep]] * width + p[keep], pos[keep]
+            hit = row_low.ravel()[key] == 0
+            lists = [_lists(key, pos, rows * width), _lists(key[hit], pos[hit], rows * width)]
+            names += ["low_at", "hits", "last"]
+        cols = [*(pa.array(x) for x in table), *(x if isinstance(x, pa.Array) else pa.array(x) for x in lists), pa.array(last[first + pieces - 1].ravel(), pa.int32())]
+        if self.results == "scores":
+            of = np.empty(len(order), object)
+            for i, v in zip(order, values):
+                of[i] = v
+            cells = [np.concatenate([of[i][k] for i in range(first[r], first[r] + pieces[r])]) for r in range(rows) for k in range(width)]
+            ends = np.cumsum([0, *map(len, cells)])
+            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(cells), pa.int32())))
             names.append("scores")
         return pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -99,11 +144,12 @@ def _sized(patterns: DataFrame, unit: str) -> tuple[int, int, int]:
     return tuple(int(x) for x in r)
 
 
-def scanned(patterns: DataFrame, texts: DataFrame, metric: str = "compat", unit: str = "byte", anchor: str = "any", chunk: int = CHUNK, scores: bool = False) -> DataFrame:
-    """PART rows, one for each pattern (pattern_id, pattern) and chunk of a text (text_id, text).
+def scanned(patterns: DataFrame, texts: DataFrame, metric: str = "compat", unit: str = "byte", anchor: str = "any", chunk: int = CHUNK, scores: bool = False, counts: bool = False) -> DataFrame:
+    """PART rows (COUNTED with counts), one for each pattern (pattern_id, pattern) and chunk of a text (text_id, text).
 
-    texts may already carry start and own_len, its own chunks. Patterns without
-    a symbol and null texts take no part.
+    texts may already carry start and own_len, its own chunks. Chunks of texts
+    that have several are dealt out by text and start. Patterns without a
+    symbol and null texts take no part.
     """
     checked(metric, anchor)
     spark = texts.sparkSession
@@ -113,42 +159,41 @@ def scanned(patterns: DataFrame, texts: DataFrame, metric: str = "compat", unit:
     count, size, longest = _sized(patterns, unit)
     length = "char_length(text)" if unit == "char" else "octet_length(text)"
     texts = texts.where("text IS NOT NULL").withColumn("n", F.expr(f"cast({length} AS long)"))
+    deal = False
     if "own_len" not in texts.columns:
+        deal = anchor == "any" and "__long" in texts.columns
         texts = with_chunks(texts, "n", chunk) if anchor == "any" else texts.withColumn("start", F.lit(0).cast("long")).withColumn("own_len", F.col("n"))
     source = "text" if unit == "char" else "cast(text AS binary)"
     texts = texts.withColumn("lead", F.expr(f"least(start, {2 * longest}L)"))
     pieces = texts.select(F.expr("cast(text_id AS long)").alias("text_id"), "n", "start", "own_len", "lead", F.expr(f"substring({source}, cast(start - lead AS int) + 1, cast(lead + own_len AS int))").alias("piece"))
-    schema = PART + (", scores array<int>" if scores else "")
-    if size <= CLOSURE_BYTES:
-        known = [tuple(r) for r in patterns.collect()]  # below the bound just measured
+    if deal:
+        # a number of its own, because AQE would join small partitions although a scan's work is not in its bytes
+        pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "text_id", "start")
+    results = "counts" if counts else "scores" if scores else "lists"
+    schema = COUNTED if counts else PART + (", scores array<int>" if scores else "")
+
+    def scan(block: DataFrame) -> DataFrame:
+        known = [tuple(r) for r in block.collect()]  # below a bound that has been measured
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scanner = Scanner(known, metric, unit, anchor, scores)
+            scanner = Scanner(known, metric, unit, anchor, results)
             for b in batches:
                 if b.num_rows:
                     yield from scanner.run(b)
 
         return pieces.mapInArrow(run, schema)
 
-    blocks = patterns.groupBy(F.pmod(F.xxhash64("pattern_id"), F.lit(-(-count // BLOCK))).alias("block")).agg(F.collect_list(F.struct("pattern_id", "pattern")).alias("patterns"))
-
-    def run_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, Scanner] = {}
-        for b in batches:
-            block = b.column(6).to_numpy()
-            for k in np.unique(block):
-                mine = np.flatnonzero(block == k)
-                if k not in made:
-                    if len(made) >= 8:
-                        made.clear()
-                    made[k] = Scanner([(p["pattern_id"], p["pattern"]) for p in b.column(7)[int(mine[0])].as_py()], metric, unit, anchor, scores)
-                yield from made[k].run(b.take(pa.array(mine)))
-
-    return pieces.crossJoin(blocks).mapInArrow(run_blocks, schema)
+    if size <= CLOSURE_BYTES:
+        return scan(patterns)
+    blocks = -(-size // BLOCK_BYTES)
+    return reduce(DataFrame.unionAll, [scan(patterns.where(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(blocks)) == k)) for k in range(blocks)])
 
 
 def merged(parts: DataFrame) -> DataFrame:
     """One row for each pair: hits, lowest score and where, last score; an associative merge of chunk results."""
+    if "n_low" in parts.columns:
+        by_low = parts.groupBy("pattern_id", "text_id", "m", "n", "low").agg(F.sum("n_low").alias("n_low"), F.sum("n_hits").alias("n_hits"), F.max(F.struct("start", "last")).alias("end"))
+        return counted(by_low.groupBy("pattern_id", "text_id", "m", "n").agg(F.min_by("n_low", "low").alias("n_low"), F.sum("n_hits").alias("n_hits"), F.min("low").alias("low"), F.max("end").getField("last").alias("last")))
     has_scores = "scores" in parts.columns
     extra = [F.expr("flatten(transform(array_sort(collect_list(struct(start, scores))), x -> x.scores))").alias("scores")] if has_scores else []
     out = parts.groupBy("pattern_id", "text_id", "m", "n").agg(
@@ -158,27 +203,53 @@ def merged(parts: DataFrame) -> DataFrame:
         F.max_by("last", "start").alias("last"),
         *extra,
     )
-    low_at = F.expr("array_sort(flatten(transform(filter(lows, x -> x.low = low), x -> x.low_at)))")
-    return out.select("pattern_id", "text_id", F.col("m").alias("query_len"), F.col("n").alias("ref_len"), F.size("hits").alias("num_hits"), F.col("hits").alias("hit_indexes"), F.col("low").alias("lowest_score"), low_at.alias("lowest_indexes"), F.col("last").alias("last_score"), *(["scores"] if has_scores else []))
+    return named(out.withColumn("low_at", F.expr("array_sort(flatten(transform(filter(lows, x -> x.low = low), x -> x.low_at)))")))
+
+
+def named(pairs: DataFrame) -> DataFrame:
+    """PART rows of whole texts under the names of match()."""
+    return pairs.select("pattern_id", "text_id", F.col("m").alias("query_len"), F.col("n").alias("ref_len"), F.size("hits").alias("num_hits"), F.col("hits").alias("hit_indexes"), F.col("low").alias("lowest_score"), F.col("low_at").alias("lowest_indexes"), F.col("last").alias("last_score"), *(["scores"] if "scores" in pairs.columns else []))
 
 
-def match(patterns: DataFrame, texts: DataFrame, metric: str = "compat", unit: str = "byte", anchor: str = "any", chunk: int = CHUNK, scores: bool = False, max_positions: int | None = None, engine: str = "lockstep") -> DataFrame:
+def counted(pairs: DataFrame) -> DataFrame:
+    """COUNTED rows of whole texts under the names of match()."""
+    return pairs.select("pattern_id", "text_id", F.col("m").alias("query_len"), F.col("n").alias("ref_len"), F.col("n_hits").cast("int").alias("num_hits"), F.col("low").alias("lowest_score"), F.col("n_low").cast("int").alias("n_lowest"), F.col("last").alias("last_score"))
+
+
+def match(patterns: DataFrame, texts: DataFrame, metric: str = "compat", unit: str = "byte", anchor: str = "any", chunk: int = CHUNK, scores: bool = False, max_positions: int | None = None, engine: str = "lockstep", counts: bool = False) -> DataFrame:
     """Every pattern against every text.
 
     Columns: pattern_id, text_id, query_len, ref_len, num_hits, hit_indexes,
     lowest_score, lowest_indexes, last_score (-1 for an empty text) and, if
     asked, scores. Positions are 0-based ends. max_positions cuts the lists.
+    counts: n_lowest, how often the lowest score occurs, stands for the lists,
+    which are never made. Only pairs of texts longer than a chunk are merged.
     """
     if engine == "sql":
         out = _match_sql(patterns, texts, metric, anchor, scores)
     else:
-        out = merged(scanned(patterns, texts, metric, unit, anchor, chunk, scores))
-    if max_positions is not None:
+        options, whole = (metric, unit, anchor, chunk, scores, counts), counted if counts else named
+        if anchor == "start":
+            out = whole(scanned(patterns, texts, *options))
+        else:
+            texts = texts.select("text_id", "text")
+            long = ("char_length(text)" if unit == "char" else "octet_length(text)") + f" > {chunk}"
+            short = whole(scanned(patterns, texts.where(f"NOT ({long})"), *options))
+            out = short.unionByName(merged(scanned(patterns, texts.where(long).withColumn("__long", F.lit(True)), *options)))
+    if max_positions is not None and not counts:
         for c in ("hit_indexes", "lowest_indexes"):
             out = out.withColumn(c, F.slice(c, 1, max_positions))
     return out
 
 
+def chunk_matches(patterns: DataFrame, texts: DataFrame, metric: str = "compat", unit: str = "byte", chunk: int = CHUNK) -> DataFrame:
+    """As match(), but a row for each pair and chunk with some position: start, its own lowest score, positions and hits.
+
+    For results whose lists over a whole text would not fit a row.
+    """
+    return scanned(patterns, texts.select("text_id", "text").withColumn("__long", F.lit(True)), metric, unit, chunk=chunk)
+
+
 def _match_sql(patterns: DataFrame, texts: DataFrame, metric: str, anchor: str, scores: bool) -> DataFrame:
     """By aggregate() in SQL, in characters; patterns of up to 60."""
     p = patterns.where("octet_length(pattern) > 0").select(F.col("pattern_id").cast("long"), "pattern", F.char_length("pattern").alias("m")).withColumn("eq", sqlkernel.match_masks("pattern"))

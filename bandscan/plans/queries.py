@@ -87,7 +87,7 @@ def documents_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation names against all whole documents, by bytes."""
     p = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pattern_id"), F.col("n_name").alias("pattern"))
     t = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    return match(p, t).select("pattern_id", "text_id", "query_len", "ref_len", "num_hits", "lowest_score", F.size("lowest_indexes").alias("n_lowest"), "last_score")
+    return match(p, t, counts=True)
 
 
 def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

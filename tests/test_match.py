@@ -50,7 +50,7 @@ def test_anchor_unicode_and_caps(spark):
 
 def test_joined_pattern_blocks(spark, monkeypatch):
     monkeypatch.setattr(plan, "CLOSURE_BYTES", 0)
-    monkeypatch.setattr(plan, "BLOCK", 2)
+    monkeypatch.setattr(plan, "BLOCK_BYTES", 50)
     ps, ts, p, t = data(spark, 6)
     assert rows(match(p, t, chunk=50)) == expected(ps, ts)
 
@@ -84,3 +84,35 @@ def test_chunk_plans(spark):
     assert got == [(1, 0, 0), (2, 0, 5), (2, 5, 5), (3, 0, 5), (3, 5, 5), (3, 10, 1)]
     assert tuple(chunk_size_by_work(df.selectExpr("n * 100000000 AS n"), "n", 10).first()) == (700000000, 77, 400000)
     assert chunk_size_by_memory(1, 1) == 5000
+
+
+@pytest.mark.parametrize("chunk", [7, 100_000])
+def test_counts_equal_lists(spark, monkeypatch, chunk):
+    monkeypatch.setattr(plan, "PIECE", 16)
+    ps, ts, p, t = data(spark, 10)
+    want = {k: (v[0], v[1], v[2], v[4], len(v[5]), v[6]) for k, v in expected(ps, ts).items()}
+    assert {(r["pattern_id"], r["text_id"]): tuple(r)[2:] for r in match(p, t, chunk=chunk, counts=True).collect()} == want
+
+
+def test_pieces_equal_whole(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choice("acgt") for _ in range(5000)) + "ac" * 700
+    ps = [(1, "ac"), (2, text[1000:1030]), (3, text[2040:2140]), (4, text[3000:3256])]
+    got = match(spark.createDataFrame(ps, "pattern_id long, pattern string"), spark.createDataFrame([(1, text)], "text_id long, text string"))
+    assert rows(got) == expected(ps, [(1, text)])
+
+
+def test_chunks_of_a_long_text_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    ps, ts, p, t = data(spark, 11)
+    long = spark.createDataFrame([(1, "acgt" * 500)], "text_id long, text string")
+    parts = plan.chunk_matches(p, long, chunk=20)
+    assert parts.select("start").distinct().count() == 100
+    assert parts.select(F.spark_partition_id().alias("k")).distinct().count() > 1
+
+
+def test_a_short_text_needs_no_shuffle(spark):
+    ps, ts, p, t = data(spark, 11)
+    plan_text = scanned(p, t)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan_text
