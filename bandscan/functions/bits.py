@@ -80,6 +80,15 @@ def rotated_left(bits: Column, by: int) -> Column:
     return F.concat(F.substring(bits, k + 1, F.length(bits)), F.substring(bits, F.lit(1), k))
 
 
+def rotated_right(bits: Column, by: int) -> Column:
+    k = F.pmod(F.lit(-by), F.length(bits))
+    return F.concat(F.substring(bits, k + 1, F.length(bits)), F.substring(bits, F.lit(1), k))
+
+
+def padded_right(bits: Column, n: int) -> Column:
+    return F.concat(bits, F.lit("0" * n))
+
+
 def padded_left(bits: Column, n: int) -> Column:
     return F.concat(F.lit("0" * n), bits)
 

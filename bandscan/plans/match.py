@@ -30,6 +30,8 @@ from bandscan.plans.chunking import with_chunks
 CHUNK, PIECE, LANES, CELLS = 1 << 18, 1024, 8_192, 1 << 24
 #: Bytes of patterns that travel with a task, and of a block of more patterns.
 CLOSURE_BYTES, BLOCK_BYTES = 8 << 20, 4 << 20
+#: Characters of a piece in SQL.
+SQL_PIECE = 256
 
 KEYS = "pattern_id long, text_id long, m int, n long, start long, low int, "
 PART = KEYS + "low_at array<long>, hits array<long>, last int"
@@ -251,13 +253,23 @@ def chunk_matches(patterns: DataFrame, texts: DataFrame, metric: str = "compat",
 
 
 def _match_sql(patterns: DataFrame, texts: DataFrame, metric: str, anchor: str, scores: bool) -> DataFrame:
-    """By aggregate() in SQL, in characters; patterns of up to 60."""
+    """By aggregate() in SQL, in characters; patterns of up to 60. Texts are cut into pieces, so that work is linear in their length."""
     p = patterns.where("octet_length(pattern) > 0").select(F.col("pattern_id").cast("long"), "pattern", F.char_length("pattern").alias("m")).withColumn("eq", sqlkernel.match_masks("pattern"))
-    t = texts.where("text IS NOT NULL").select(F.col("text_id").cast("long"), "text")
-    pairs = t.crossJoin(p).select("pattern_id", "text_id", "m", F.char_length("text").cast("long").alias("n"), F.assert_true(F.col("m") <= sqlkernel.MAX_SYMBOLS).alias("ok"), sqlkernel.score_array("eq", "m", "text", metric, anchor).alias("scores"))
-    low = pairs.withColumn("low", F.least(F.col("m"), F.coalesce(F.array_min("scores"), F.col("m"))))
-    at = lambda v: F.expr(f"filter(transform(scores, (s, j) -> IF(s = {v}, cast(j AS bigint), NULL)), j -> j IS NOT NULL)")
-    return low.where("ok IS NULL").select("pattern_id", "text_id", F.col("m").alias("query_len"), F.col("n").alias("ref_len"), F.size(at("0")).alias("num_hits"), at("0").alias("hit_indexes"), F.col("low").alias("lowest_score"), at("low").alias("lowest_indexes"), F.coalesce(F.try_element_at("scores", F.lit(-1)), F.lit(-1)).alias("last_score"), *(["scores"] if scores else []))
+    t = texts.where("text IS NOT NULL").select(F.col("text_id").cast("long"), "text").withColumn("n", F.char_length("text").cast("long"))
+
+    def parts(t: DataFrame) -> DataFrame:
+        pairs = t.crossJoin(p).withColumn("lead", F.expr("least(start, 2L * m)"))
+        pairs = pairs.withColumn("piece", F.expr("substring(text, cast(start - lead AS int) + 1, cast(lead + own_len AS int))"))
+        all_scores = sqlkernel.score_array("eq", "m", "piece", metric, anchor)
+        pairs = pairs.select("pattern_id", "text_id", "m", "n", "start", F.assert_true(F.col("m") <= sqlkernel.MAX_SYMBOLS).alias("ok"), F.slice(all_scores, F.expr("cast(lead AS int) + 1"), F.greatest(F.lit(1), F.col("own_len").cast("int"))).alias("scores"))
+        pairs = pairs.where("ok IS NULL").withColumn("low", F.least(F.col("m"), F.coalesce(F.array_min("scores"), F.col("m"))))
+        at = lambda v: F.expr(f"filter(transform(scores, (s, j) -> IF(s = {v}, start + j, NULL)), j -> j IS NOT NULL)")
+        return pairs.select("pattern_id", "text_id", "m", "n", "start", "low", at("low").alias("low_at"), at("0").alias("hits"), F.coalesce(F.try_element_at("scores", F.lit(-1)), F.lit(-1)).alias("last"), *(["scores"] if scores else []))
+
+    whole = t.withColumn("start", F.lit(0).cast("long")).withColumn("own_len", F.col("n"))
+    if anchor == "start":
+        return named(parts(whole))
+    return named(parts(whole.where(F.col("n") <= SQL_PIECE))).unionByName(merged(parts(with_chunks(t.where(F.col("n") > SQL_PIECE), "n", SQL_PIECE))))
 
 
 def reported(pairs: DataFrame) -> DataFrame:

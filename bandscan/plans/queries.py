@@ -10,6 +10,7 @@ from bandscan.operators import compare, schedule
 from bandscan.plans import chunking
 from bandscan.plans.match import first_lowest, match, reported, scanned
 from bandscan.sources import fasta, results
+from bandscan.sources.shared import shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -141,6 +142,18 @@ def ratio_convergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schedule.convergence(trace.withColumn("next_ratio", F.round("next_ratio", 9)), "l_orderkey", "step", "next_ratio", tolerance=0.2, run=2)
 
 
+def ratio_convergence_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the default tolerance and run of changes."""
+    trace = schedule.ratio_trace(_times(spark, sf_dir), "l_orderkey", "l_linenumber", "f", "s")
+    return schedule.convergence(trace.withColumn("next_ratio", F.round("next_ratio", 9)), "l_orderkey", "step", "next_ratio")
+
+
+def power_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of a power log of all events' values, with the summary block."""
+    ev = table(spark, sf_dir, "events").select(F.expr("unix_micros(cast(ts AS timestamp)) / 1e6D").alias("t"), F.col("value").alias("watts"))
+    return results.power_lines(ev).select("value")
+
+
 def power_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events").select("event_type", F.expr("unix_micros(cast(ts AS timestamp)) / 1e6D").alias("t"), "value")
     out = schedule.power_stats(ev, "t", "value", "event_type")
@@ -162,7 +175,7 @@ def bit_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", bits.bit_string(F.col("p_partkey"), 20).alias("b"))
     b, k = F.col("b"), F.col("p_partkey")
     return p.select(
-        "p_partkey", "b", bits.next_set_bit(b, 3).cast("int").alias("next_set"), bits.rank(b, 9).alias("rank"), F.size(bits.runs(b)).alias("n_runs"), bits.rotated_left(b, 7).alias("rotated"), bits.reversed_bits(b).alias("reversed"),
+        "p_partkey", "b", bits.next_set_bit(b, 3).cast("int").alias("next_set"), bits.rank(b, 9).alias("rank"), F.size(bits.runs(b)).alias("n_runs"), bits.rotated_left(b, 7).alias("rotated"), bits.rotated_right(b, 7).alias("rotated_right"), bits.padded_right(b, 2).alias("padded_right"), bits.reversed_bits(b).alias("reversed"),
         bits.set_bit(k, F.lit(5)).alias("set5"), bits.clear_bit(k, F.lit(2)).alias("clear2"), bits.test_bit(k, F.lit(1)).alias("bit1"), k.bitwiseAND(bits.low_mask(F.lit(6))).alias("low6"),
         bits.add_with_carry(k, F.lit(60), F.lit(1), 6)["sum"].alias("limb_sum"), bits.add_with_carry(k, F.lit(60), F.lit(1), 6)["carry"].alias("limb_carry"), bits.contains(b, F.lit("101")).alias("has_101"),
     )
@@ -184,6 +197,38 @@ def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.result_lines(_runs(spark, sf_dir)[0])
 
 
+def fasta_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names written as FASTA files and read again."""
+    path = f"{shared_dir(spark)}/parts"
+    recs = table(spark, sf_dir, "part").select(F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_type").alias("header"), F.col("p_name").alias("seq"))
+    fasta.write_fasta(recs, path, width=7)
+    return fasta.read_fasta(spark, path, glob="part-*").select("header", "seq", "len")
+
+
+def result_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Result files of part names against themselves, written and read again."""
+    path = f"{shared_dir(spark)}/results"
+    results.write_results(_runs(spark, sf_dir)[0], path)
+    return flat(results.read_results(spark, path))
+
+
+def benchmark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), "text")
+
+
+def anchored_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of all benchmark items, which are long patterns, from each other."""
+    t = benchmark_texts(spark, sf_dir)
+    pairs = match(t.select(F.col("text_id").alias("pattern_id"), F.col("text").alias("pattern")), t, "levenshtein", anchor="start", counts=True)
+    return pairs.select("pattern_id", "text_id", "query_len", "last_score")
+
+
+def benchmark_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation names against all benchmark texts, by characters, counts only."""
+    p = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pattern_id"), F.col("n_name").alias("pattern"))
+    return match(p, benchmark_texts(spark, sf_dir), unit="char", counts=True)
+
+
 def first_lowest_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = match(part_patterns(spark, sf_dir), part_texts(spark, sf_dir))
     return first_lowest(pairs).select("pattern_id", "text_id", "lowest_score", "first_lowest")
@@ -208,6 +253,12 @@ def queries() -> dict:
         "chunked_match": _summary("compat", chunk=4),
         "exact_hits": exact_hits,
         "first_lowest_position": first_lowest_position,
+        "fasta_records": fasta_records,
+        "result_rows": result_rows,
+        "anchored_long": anchored_long,
+        "benchmark_scan": benchmark_scan,
+        "ratio_convergence_default": ratio_convergence_default,
+        "power_log": power_log,
         "ratio_split_match": ratio_split_match,
         "anchored_levenshtein": anchored_levenshtein,
         "documents_scan": documents_scan,

@@ -74,6 +74,19 @@ LINES = scan(PART_P, PART_T) + SUMMARY + """
 SELECT 'q' || pattern_id || ',' || query_len || ',r' || text_id || ',' || ref_len || ',' || num_hits || ',"' || hit_indexes || '",' ||
   CASE WHEN num_hits = 0 THEN lowest_score::VARCHAR ELSE 'N/A' END || ',"' || CASE WHEN num_hits = 0 THEN lowest_indexes ELSE 'N/A' END || '",' || last_score AS value FROM flat"""
 
+LONG = """
+SELECT p.item_id AS pattern_id, t.item_id AS text_id, strlen(p.text)::INT AS query_len, levenshtein(p.text, t.text)::INT AS last_score
+FROM benchmark p, benchmark t WHERE p.text != '' AND t.text IS NOT NULL"""
+
+RESULT_ROWS = scan(PART_P, PART_T) + SUMMARY + """
+SELECT 'q' || pattern_id AS query_file, query_len, 'r' || text_id AS ref_file, ref_len::INT AS ref_len, num_hits, hit_indexes,
+  CASE WHEN num_hits = 0 THEN lowest_score END AS lowest_score, CASE WHEN num_hits = 0 THEN lowest_indexes ELSE 'N/A' END AS lowest_indexes, last_score FROM flat"""
+
+BENCHMARK = (
+    scan("SELECT n_nationkey AS pattern_id, n_name AS pattern FROM nation", "SELECT item_id AS text_id, text FROM benchmark WHERE text IS NOT NULL") + SUMMARY
+    + " SELECT pattern_id, text_id, query_len, ref_len, num_hits, lowest_score, coalesce(len(lows), 0)::INT AS n_lowest, last_score FROM flat JOIN (SELECT pattern_id, text_id, lows FROM res) USING (pattern_id, text_id)"
+)
+
 TIMES = "SELECT l_orderkey, l_linenumber, max(l_quantity) AS f, max(l_extendedprice / 2000) AS s, max(l_discount * 10) AS r FROM lineitem GROUP BY ALL"
 
 
@@ -126,6 +139,19 @@ UNION ALL SELECT doc_id, n, 'second', cut, n - cut FROM c WHERE n > cut""",
 d AS (SELECT l_orderkey, step, coalesce((abs(round(next_ratio, 9) - lag(round(next_ratio, 9)) OVER (PARTITION BY l_orderkey ORDER BY step)) < 0.2)::INT, 0) AS small FROM tr),
 k AS (SELECT *, sum(small) OVER (PARTITION BY l_orderkey ORDER BY step ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS in_row FROM d)
 SELECT l_orderkey, min(CASE WHEN in_row = 2 THEN step END)::INT AS converged_at FROM k GROUP BY l_orderkey""",
+        "ratio_convergence_default": TRACE + """,
+d AS (SELECT l_orderkey, step, coalesce((abs(round(next_ratio, 9) - lag(round(next_ratio, 9)) OVER (PARTITION BY l_orderkey ORDER BY step)) < 0.02)::INT, 0) AS small FROM tr),
+k AS (SELECT *, sum(small) OVER (PARTITION BY l_orderkey ORDER BY step ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS in_row FROM d)
+SELECT l_orderkey, min(CASE WHEN in_row = 3 THEN step END)::INT AS converged_at FROM k GROUP BY l_orderkey""",
+        "fasta_records": "SELECT p_partkey || ' ' || p_type AS header, p_name AS seq, strlen(p_name)::INT AS len FROM part WHERE p_name != ''",
+        "result_rows": RESULT_ROWS,
+        "anchored_long": LONG,
+        "benchmark_scan": BENCHMARK,
+        "power_log": """
+WITH e AS (SELECT epoch_us(ts) / 1e6 AS t, value FROM events WHERE value > 0),
+f AS (SELECT max(t) - min(t) AS d, avg(value) AS mean, max(value) AS peak FROM e)
+SELECT 'Time_s,Power_W' AS value UNION ALL SELECT printf('%.2f,%.2f', t, value::DOUBLE) FROM e
+UNION ALL SELECT unnest(['', '', '---,SUMMARY STATISTICS,---', 'Metric,Value,Unit', printf('Duration,%.4f,s', d), printf('Average Power,%.4f,W', mean), printf('Peak Power,%.4f,W', peak::DOUBLE), printf('Total Energy,%.4f,J', mean * d)]) FROM f""",
         "power_stats": """
 WITH e AS (SELECT event_type, epoch_us(ts) / 1e6 AS t, value FROM events WHERE value > 0)
 SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_w, max(value) AS max_w, round(max(t) - min(t), 1) AS duration_s, round(avg(value) * (max(t) - min(t)), 0) AS energy_j FROM e GROUP BY event_type""",
@@ -136,7 +162,7 @@ SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, bit_count(xor(l_
         "bit_vectors": """
 WITH b AS (SELECT p_partkey, right(lpad(bin(p_partkey), 64, '0'), 20) AS b FROM part)
 SELECT p_partkey, b, CASE WHEN strpos(substr(b, 4), '1') > 0 THEN strpos(substr(b, 4), '1') + 2 ELSE -1 END::INT AS next_set, length(replace(substr(b, 1, 10), '0', ''))::INT AS rank,
-  len(regexp_extract_all(b, '0+|1+'))::INT AS n_runs, substr(b, 8) || substr(b, 1, 7) AS rotated, reverse(b) AS reversed, p_partkey | 32 AS set5, p_partkey - (p_partkey & 4) AS clear2,
+  len(regexp_extract_all(b, '0+|1+'))::INT AS n_runs, substr(b, 8) || substr(b, 1, 7) AS rotated, substr(b, 14) || substr(b, 1, 13) AS rotated_right, b || '00' AS padded_right, reverse(b) AS reversed, p_partkey | 32 AS set5, p_partkey - (p_partkey & 4) AS clear2,
   (p_partkey & 2) > 0 AS bit1, p_partkey & 63 AS low6, (p_partkey + 61) & 63 AS limb_sum, (p_partkey + 61) >> 6 AS limb_carry, contains(b, '101') AS has_101 FROM b""",
         "match_masks": f"SELECT pattern_id, symbol, sum(1::BIGINT << i)::BIGINT AS mask FROM (SELECT pattern_id, unnest(string_split(pattern, '')) AS symbol, unnest(range(length(pattern)))::INT AS i FROM ({PART_P})) GROUP BY ALL",
         "fasta_lines": "SELECT p_partkey, '>' || p_type || chr(10) || rtrim(regexp_replace(p_name, '(.{5})', '\\1' || chr(10), 'g'), chr(10)) AS value FROM part",

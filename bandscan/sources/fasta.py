@@ -16,32 +16,32 @@ def read_fasta(spark: SparkSession, path: str, headerless: str = "drop", glob: s
     A line that begins with > starts a record; line ends are taken out; empty
     records are dropped. Lines before the first record are dropped, or kept as
     a record without a header (headerless='keep'). Files are split at records,
-    so one large file is read by many tasks; records are numbered per file from
-    counts of the splits. max_len cuts sequences, first_only keeps record 0.
+    so one large file is read by many tasks. Records are numbered from a small
+    table of the splits (rows, and which of them are no records), which a first
+    pass makes; sequences are read once more and never shuffled, if that table
+    may be broadcast. max_len cuts sequences, first_only keeps record 0.
     """
     if headerless not in ("drop", "keep"):
         raise ValueError("headerless must be 'drop' or 'keep'")
     reader = spark.read.option("lineSep", "\n>")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
     raw = reader.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    first = raw.where("block = 0").groupBy("path").agg(F.min("id").alias("first"))
-    rows = raw.join(first, "path", "left").withColumn("is_first", F.col("id") == F.col("first"))
-    marked = F.expr("startswith(value, '>')")
-    body = F.when(F.col("is_first") & marked, F.substring("value", 2, 1 << 30)).otherwise(F.col("value"))
-    bare = F.col("is_first") & ~marked
-    # text in front of the first record is a record of its own only without a header
-    header = F.when(~bare, F.regexp_extract(body, r"^([^\r\n]*)", 1))
-    seq = F.when(bare, body).otherwise(F.regexp_extract(body, r"(?s)^[^\n]*\n?(.*)$", 1))
-    rows = rows.select("path", "block", "id", bare.alias("bare"), header.alias("header"), F.regexp_replace(seq, r"[\r\n]", "").alias("seq"))
-    rows = rows.where(F.length("seq") > 0)
-    rows = rows.where(~F.col("bare")) if headerless == "drop" else rows
-    splits = rows.groupBy("path", "block").agg(F.count("*").alias("k"), F.min("id").alias("from"))
-    # ids rise within a split; other files' rows do not stand between one split's rows
-    before = splits.select("path", "block", F.col("from"), F.expr("coalesce(sum(k) OVER (PARTITION BY path ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("before"))
-    dense = rows.join(before, ["path", "block"])
-    idx = F.expr("row_number() OVER (PARTITION BY path, block ORDER BY id)") - 1 + F.col("before")
-    seq = F.substring("seq", 1, max_len) if max_len else F.col("seq")
-    out = dense.select(F.element_at(F.split("path", "/"), -1).alias("file"), idx.cast("int").alias("record_idx"), "header", seq.alias("seq")).withColumn("len", F.octet_length("seq"))
+    bare = ~F.expr("startswith(value, '>')")  # of a file's first row: text in front of the first record
+    lines = lambda body: F.regexp_replace(F.regexp_extract(body, r"(?s)^[^\n]*\n?(.*)$", 1), r"[\r\n]", "")
+    first_seq = F.when(bare, F.regexp_replace("value", r"[\r\n]", "")).otherwise(lines(F.expr("substring(value, 2)")))
+    rows = raw.select("path", "block", "id", bare.alias("bare"), "value", lines(F.col("value")).alias("seq"), first_seq.alias("first_seq"))
+    first_bad = (F.length("first_seq") == 0) | (F.col("bare") if headerless == "drop" else F.lit(False))
+    # ids rise by one within a split
+    splits = rows.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("from"), F.min_by(first_bad, "id").alias("first_bad"), F.collect_list(F.when(F.length("seq") == 0, F.col("id"))).alias("empty"))
+    bad = F.expr("IF(block = 0, concat(filter(empty, x -> x != from), IF(first_bad, array(from), cast(array() AS array<bigint>))), empty)")
+    splits = splits.select("path", "block", "from", "n", bad.alias("bad"))
+    splits = splits.withColumn("before", F.expr("coalesce(sum(n - size(bad)) OVER (PARTITION BY path ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"))
+    dense = rows.join(splits, ["path", "block"]).where("NOT array_contains(bad, id)").withColumn("is_first", F.expr("block = 0 AND id = from"))
+    header = F.when(F.col("is_first") & F.col("bare"), F.lit(None)).otherwise(F.regexp_extract(F.when(F.col("is_first"), F.expr("substring(value, 2)")).otherwise(F.col("value")), r"^([^\r\n]*)", 1))
+    seq = F.when(F.col("is_first"), F.col("first_seq")).otherwise(F.col("seq"))
+    seq = F.substring(seq, 1, max_len) if max_len else seq
+    idx = F.expr("cast(before + id - from - size(filter(bad, x -> x < id)) AS int)")
+    out = dense.select(F.element_at(F.split("path", "/"), -1).alias("file"), idx.alias("record_idx"), header.alias("header"), seq.alias("seq")).withColumn("len", F.octet_length("seq"))
     return out.where("record_idx = 0") if first_only else out
 
 
@@ -82,3 +82,15 @@ def write_split(records: DataFrame, path: str, part: str = "part", mode: str = "
 def chunk_records(chunks: DataFrame) -> DataFrame:
     """(header, seq) of chunk rows (text_id, start, piece): the header names text and start."""
     return chunks.select(F.concat_ws("_", F.col("text_id").cast("string"), F.col("start").cast("string")).alias("header"), F.col("piece").alias("seq"))
+
+
+#: Fixed value: the chunk length of partition files.
+PARTITION = 10_700
+
+
+def write_partitions(texts: DataFrame, path: str, longest: int, size: int = PARTITION, mode: str = "error") -> None:
+    """Texts (text_id, text) cut into FASTA records of `size` symbols and an overlap of longest - 1, headed k_start."""
+    step = max(1, size - (longest - 1))
+    cut = texts.where("text IS NOT NULL AND text != ''").select("text", F.posexplode(F.expr(f"sequence(0, greatest(0, char_length(text) - {longest}), {step})")).alias("k", "start"))
+    records = cut.select(F.concat_ws("_", F.col("k").cast("string"), F.col("start").cast("string")).alias("header"), F.expr(f"substring(text, start + 1, {size})").alias("seq"))
+    write_fasta(records, path, mode=mode)

@@ -45,6 +45,22 @@ def console_report(pairs: DataFrame, rows: int = 20) -> str:
     return "\n".join(r[0] for r in pairs.orderBy("query_file", "ref_file").select(line).limit(rows).collect())
 
 
+#: The head of a power log's summary block.
+SUMMARY_HEAD = ("", "", "---,SUMMARY STATISTICS,---", "Metric,Value,Unit")
+
+
+def power_lines(samples: DataFrame) -> DataFrame:
+    """(place, value): the lines of a power log in order: header, positive readings (t, watts) by time, summary block."""
+    good = samples.where("watts > 0")
+    rows = good.select(F.struct(F.lit(1).alias("part"), F.col("t").cast("double").alias("t"), F.lit(0).alias("k")).alias("place"), F.format_string("%.2f,%.2f", F.col("t").cast("double"), F.col("watts").cast("double")).alias("value"))
+    facts = good.agg((F.max("t") - F.min("t")).cast("double").alias("d"), F.avg("watts").cast("double").alias("mean"), F.max("watts").cast("double").alias("peak")).where("d IS NOT NULL")
+    last = [("Duration", "d", "s"), ("Average Power", "mean", "W"), ("Peak Power", "peak", "W"), ("Total Energy", "mean * d", "J")]
+    block = F.array(*[F.lit(x) for x in SUMMARY_HEAD], *[F.format_string(f"{name},%.4f,{unit}", F.expr(v)) for name, v, unit in last])
+    block = facts.select(F.posexplode(block).alias("k", "value")).select(F.struct(F.lit(2).alias("part"), F.lit(0.0).alias("t"), F.col("k").cast("int").alias("k")).alias("place"), "value")
+    head = samples.sparkSession.range(1).select(F.struct(F.lit(0).alias("part"), F.lit(0.0).alias("t"), F.lit(0).alias("k")).alias("place"), F.lit("Time_s,Power_W").alias("value"))
+    return head.unionAll(rows).unionAll(block)
+
+
 def write_power_log(samples: DataFrame, path: str, mode: str = "error") -> None:
-    """Rows (t, watts) as CSV."""
-    samples.select(F.col("t").alias("Time_s"), F.col("watts").alias("Power_W")).write.mode(mode).option("header", True).csv(path)
+    """Readings (t, watts) and their summary as text parts in order."""
+    power_lines(samples).orderBy("place").select("value").write.mode(mode).text(path)

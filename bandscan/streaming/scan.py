@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from bandscan.plans.match import CHUNK, merged, scanned
+from bandscan.plans.match import CHUNK, match
 
 
 def start_matching(patterns: DataFrame, texts: DataFrame, path: str, checkpoint: str, metric: str = "compat", unit: str = "byte", chunk: int = CHUNK, **trigger):
@@ -16,6 +16,6 @@ def start_matching(patterns: DataFrame, texts: DataFrame, path: str, checkpoint:
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        merged(scanned(patterns, batch, metric, unit, chunk=chunk)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        match(patterns, batch, metric, unit, chunk=chunk).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return texts.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -73,7 +73,32 @@ def test_result_files(spark, tmp_path):
     other = df.where("query_len = 4 AND ref_file = 'r.fa'").withColumn("lowest_indexes", F.array(F.lit(5), F.lit(3))).withColumn("last_score", F.lit(7))
     got = {r["ref_file"]: r for r in compare.compare_runs(df, other.unionAll(other)).collect()}
     assert got["r.fa"]["same_lowest_indexes"] and not got["r.fa"]["same_last_score"] and not got["r.fa"]["matched"] and not got["r2.fa"]["found"]
-    results.write_power_log(spark.createDataFrame([(1.0, 2.0)], "t double, watts double"), str(tmp_path / "power"))
+    results.write_power_log(spark.createDataFrame([(1.0, 18.61), (2.03, 12.93), (2.5, 0.0)], "t double, watts double"), str(tmp_path / "power"))
+    lines = [x for f in sorted((tmp_path / "power").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines[:5] == ["Time_s,Power_W", "1.00,18.61", "2.03,12.93", "", ""] and lines[5:7] == ["---,SUMMARY STATISTICS,---", "Metric,Value,Unit"]
+    assert lines[7:] == ["Duration,1.0300,s", "Average Power,15.7700,W", "Peak Power,18.6100,W", "Total Energy,16.2431,J"]
+
+
+def test_partition_files(spark, tmp_path):
+    text = "".join(chr(97 + k % 26) for k in range(250))
+    fasta.write_partitions(spark.createDataFrame([(1, text), (2, None), (3, "")], "text_id long, text string"), str(tmp_path / "cut"), longest=5, size=100)
+    got = fasta.read_fasta(spark, str(tmp_path / "cut"), glob="part-*").collect()
+    assert sorted((r["header"], r["seq"]) for r in got) == [("0_0", text[:100]), ("1_96", text[96:196]), ("2_192", text[192:])]
+
+
+def test_shared_folders(spark, monkeypatch):
+    from bandscan.sources import shared
+
+    class Session:
+        def __init__(self, master, folder=None):
+            self.sparkContext = type("C", (), {"master": master})
+            self.conf = type("F", (), {"get": staticmethod(lambda key, other=None: folder)})
+
+    monkeypatch.setattr(shared, "_MADE", [])
+    assert shared.shared_dir(Session("local[4]")).startswith("file:")
+    assert shared.shared_dir(Session("spark://host:7077", "hdfs://x/y/")).startswith("hdfs://x/y/bandscan-")
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session("spark://host:7077"))
 
 
 def test_schedule(spark):
@@ -99,6 +124,8 @@ def test_helpers(spark):
     assert b.select(bits.shifted_left(F.col("v"))).first()[0] == [2, 7]
     assert b.select(bits.shifted_right(F.col("v"))).first()[0] == [(1 << 58) + (1 << 59), 1]
     assert spark.range(1).select(bits.padded_left(F.lit("1"), 3)).first()[0] == "0001"
+    assert spark.range(1).select(bits.padded_right(F.lit("1"), 3)).first()[0] == "1000"
+    assert spark.range(1).select(bits.rotated_right(F.lit("100110"), 2)).first()[0] == "101001"
 
 
 def test_stream(spark, tmp_path):
