@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from bandscan.llm.topk import Node, top_k
+from bandscan.llm.topk import Search, Tree, cover_tree, top_k
 
 
 def brute(rows, k, every, scale=64):
@@ -39,15 +39,64 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in got.collect()] == [(0, 1, 1, 64 * 128)]
 
 
+def checked_tree(points):
+    """Nodes cover their points, children part them and are centred on them, apart by more than the shrunk radius."""
+    order, nodes = cover_tree(points)
+    tree, depth = Tree(points[order], nodes), {0: 1}
+    assert sorted(order) == list(range(len(points)))
+    for n in range(len(nodes)):
+        here = tree.points[tree.lo[n] : tree.hi[n]]
+        assert tree.lo[n] <= tree.centre[n] < tree.hi[n]
+        assert (np.linalg.norm(here - tree.points[tree.centre[n]], axis=1) <= tree.radius[n] + 1e-9).all()
+        kids = range(tree.first[n], tree.first[n] + tree.children[n])
+        if tree.children[n]:
+            assert tree.lo[kids[0]] == tree.lo[n] and tree.hi[kids[-1]] == tree.hi[n]
+            assert all(tree.hi[x] == tree.lo[x + 1] for x in kids[:-1]) and len(kids) > 1
+            assert any(tree.centre[x] == tree.centre[n] for x in kids)
+            assert all(tree.radius[x] <= tree.radius[n] / 1.3 + 1e-6 for x in kids)
+            some = tree.points[tree.centre[list(kids)]][:50]
+            gaps = np.linalg.norm(some[:, None] - some[None], axis=2)[~np.eye(len(some), dtype=bool)]
+            assert gaps.min() > tree.radius[n] / 1.3 * (1 - 1e-9)
+        depth |= {x: depth[n] + 1 for x in kids}
+    return tree, max(depth.values())
+
+
 def test_tree_covers():
     rng = np.random.default_rng(1)
-    points = rng.normal(size=(2000, 2))
+    assert checked_tree(rng.normal(size=(2000, 2)))[1] > 8
+    assert checked_tree(np.repeat(rng.normal(size=(3, 2)), 50, axis=0))[1] >= 2
+    assert checked_tree(rng.normal(size=(1500, 64)))[1] >= 2
+
+
+@pytest.mark.parametrize("table", ["sf0.1"])
+def test_pairs_are_pruned_on_the_given_vectors(table):
+    import pyarrow.parquet as pq
+
+    x = np.floor(64 * np.array(pq.read_table(f"/root/testdata/{table}/embeddings.parquet")["embedding"].to_pylist(), float)).astype(np.int64)
+    tree, _ = checked_tree(x)
+    queries, _ = checked_tree(x[::20])
+    search = Search(queries, np.full(len(queries.points), np.iinfo(np.int64).min), 21)
+    found = search.run(tree, np.arange(len(x)))
+    search = Search(queries, np.array([s[-1] for s, _ in found]), 21)
+    assert all(sorted(s) == sorted(t) for (s, _), (t, _) in zip(found, search.run(tree, np.arange(len(x)))))
+    print("nodes", len(tree.radius), "pairs", search.tried, "pruned", search.pruned)
+    assert len(tree.radius) > 1 and search.pruned > 0
+
+
+def test_far_clusters_are_given_up():
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16)) * 200
+    x = np.floor(np.concatenate([c + rng.normal(size=(100, 16)) * 4 for c in centres])).astype(np.int64)
+    tree, _ = checked_tree(x)
+    queries, _ = checked_tree(x[::20])
+    search = Search(queries, np.full(len(queries.points), np.iinfo(np.int64).min), 21)
+    found = search.run(tree, np.arange(len(x)))
+    full = queries.exact @ tree.exact.T
+    assert all(sorted(s)[::-1] == sorted(row)[::-1][:21] for (s, _), row in zip(found, full))
+    assert search.pruned > 0 and search.tried < 0.1 * full.size
 
-    def walk(node):
-        assert (np.linalg.norm(points[node.idx] - node.centre, axis=1) <= node.radius + 1e-9).all()
-        if node.children:
-            assert sorted(np.concatenate([c.idx for c in node.children])) == sorted(node.idx)
-            assert len(node.children) > 1
-        return 1 + max(map(walk, node.children), default=0)
 
-    assert walk(Node(points, np.arange(2000), points.mean(0))) > 2
+def test_equal_ids_with_different_vectors(spark):
+    rows = [(0, [1.0]), (0, [2.0]), (0, [-1.0]), (1, [1.0]), (2, [0.5]), (3, [0.25])]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=2)
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 1, 128 * 64), (0, 2, 1, 64 * 64)]
