@@ -1,21 +1,26 @@
 r"""PII pseudonyms: a keyed Feistel permutation within each value's format.
 
-Found and validated: e-mail addresses, IPv4 addresses (octets to 255),
-telephone numbers (grouped, or with a country code; a number or address after
-a blank is not part of them), payment numbers (13 to 19
-digits, Luhn check), national numbers 3-2-4 (area not 000, 666 or 9xx), IBANs
-(mod 97), calendar dates from 1900-01-01 on (73,170 days), and quoted secrets
-after token, key, secret or password. What fails its validation stays.
+Found and validated: e-mail addresses, IPv4 addresses (octets to 255), IPv6
+addresses, telephone numbers (grouped, or with a country code; a number or
+address after a blank is not part of them), payment numbers (13 to 19 digits,
+Luhn check, also in groups of 4-6-5), national numbers 3-2-4 (with hyphens or
+blanks; area not 000, 666 or 9xx), IBANs (mod 97, also in groups of four),
+calendar dates from 1900-01-01 on (73,170 days; others stay), and secrets after
+token, key, secret or password (quoted, or of 12 and more characters with a
+digit) and cloud key ids. What fails its validation stays.
 
 A value maps to another of the same format by a Feistel network, which is a
 bijection: equal values get equal pseudonyms in all documents, different ones
-different pseudonyms.
+different pseudonyms. Spellings that differ in blanks, hyphens, dots and
+brackets only are equal values: bare digits (and letters, in IBANs) are
+permuted and put where they stood.
 
 - Strings: characters at even and odd places take turns. Each is moved within
   its class (digits, small letters, capitals; others stay) by an amount drawn
   from SHA-256 over key, round and the other places.
 - Payment numbers: all digits but the last, then the Luhn digit anew. IBANs:
   the part after the check digits, then these anew.
+- IPv6: its 32 hexadecimal digits; the pseudonym is written in full.
 - IPv4: two 16-bit halves. Dates: the day number as two digits of radix 271
   and 270, whose product is the size of the domain; dates that are valid only
   as day/month/year are walked until they are so again.
@@ -35,14 +40,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The key of tests; a session's own, kept secret, is read from KEY_SETTING.
 KEY, ROUNDS = "bandscan", 8
+KEY_SETTING = "spark.bandscan.pii.key"
 
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\.[A-Za-z]{2,}+"
-_SECRET = r"(?i:token|api[_-]?key|secret|password)\s{0,3}[=:]\s{0,3}\"[!#-~]{8,}+\""
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}+(?![A-Za-z0-9])"
+_SECRET = r"(?i:token|api[_-]?key|secret|password)\s{0,3}[=:]\s{0,3}(?:\"[!#-~]{8,}+\"|(?=[A-Za-z_+/=-]{0,200}[0-9])[A-Za-z0-9_+/=-]{12,}+)"
+_CLOUD = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}+|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+_HEX = "[0-9A-Fa-f]{1,4}"
+_IP6 = rf"(?<![0-9A-Za-z:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[A-Fa-f:]{{0,20}}[0-9]){_HEX}(?::{_HEX}){{0,5}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![0-9A-Za-z:]|[.][0-9])"
 _IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _DATE = r"(?<![0-9/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[/.-][0-9])"
-_NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])"
+_NATIONAL = r"(?<![0-9-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])|(?<![0-9] )[0-9]{3} [0-9]{2} [0-9]{4}(?![0-9]|[ -][0-9]))"
 #: A number written without breaks is complete by itself; else country, area and two groups, and a third one
 #: only if it is joined on: without a blank, or as a pair after a pair ("123 45 67"), so that what follows stays apart.
 _THIRD = r"(?:-?[0-9]{2,4}|(?<=\.[0-9]{2,4})\.[0-9]{2,4}|(?<= [0-9]{2}) [0-9]{2}(?![./-]?[0-9]))?"
@@ -51,8 +61,8 @@ _PHONE = (
     r"(?:\+(?:[0-9]{10,19}|[0-9]{1,3}[ .-][0-9]{8,16}|[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{2,4}"
     rf"(?:[.-]?[0-9]{{2,4}}|{_AFTER_BLANK}){_THIRD})|(?<![0-9(-])(?:\([0-9]{{3}}\) ?|[0-9]{{3}}[.-])[0-9]{{3}}[.-][0-9]{{4}})(?![0-9])"
 )
-_CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9])"
-PATTERN = "|".join((_EMAIL, _SECRET, _IBAN, _IP, _DATE, _NATIONAL, _PHONE, _CARD))
+_CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?)(?![0-9])"
+PATTERN = "|".join((_EMAIL, _SECRET, _CLOUD, _IBAN, _IP6, _IP, _DATE, _NATIONAL, _PHONE, _CARD))
 
 
 def _let(name: str, value: str, body: str) -> str:
@@ -78,6 +88,21 @@ def string_feistel(x: str, key: str, rounds: int = ROUNDS) -> str:
     return f"array_join(aggregate(sequence(0, {rounds - 1}), regexp_extract_all({x}, '(?s).', 0), (s, k) -> {step}), '')"
 
 
+def _filled(x: str, moved: str, kind: str = "0-9") -> str:
+    """SQL: x with its characters of a kind replaced by those of moved, one after the other."""
+    step = f"IF(c RLIKE '[{kind}]', named_struct('t', concat(a.t, substr(a.m, 1, 1)), 'm', substr(a.m, 2)), named_struct('t', concat(a.t, c), 'm', a.m))"
+    return f"aggregate(regexp_extract_all({x}, '(?s).', 0), named_struct('t', '', 'm', {moved}), (a, c) -> {step}, a -> a.t)"
+
+
+def hex_feistel(x: str, key: str, rounds: int = ROUNDS) -> str:
+    """SQL for the pseudonym of a string of small hexadecimal digits."""
+    by = _draw(key, "concat(o, '|', i div 8)", "1 + 8 * (i % 8)")
+    moved = f"substr('0123456789abcdef', cast((instr('0123456789abcdef', c) - 1 + {by}) % 16 + 1 AS int), 1)"
+    other = "concat(k, '|', array_join(filter(s, (c, i) -> i % 2 != k % 2), ''))"
+    step = _let("o", other, f"transform(s, (c, i) -> IF(i % 2 != k % 2, c, {moved}))")
+    return f"array_join(aggregate(sequence(0, {rounds - 1}), regexp_extract_all({x}, '.', 0), (s, k) -> {step}), '')"
+
+
 def _halves(left: str, right: str, a: int, b: int, key: str, body: str, rounds: int = ROUNDS) -> str:
     """SQL: a Feistel network on two digits of radix a and b; body reads p.l and p.r."""
     step = f"IF(k % 2 = 0, named_struct('l', (q.l + {_draw(key, "concat(k, '|', q.r)")}) % {a}, 'r', q.r), named_struct('l', q.l, 'r', (q.r + {_draw(key, "concat(k, '|', q.l)")}) % {b}))"
@@ -111,31 +136,54 @@ def pseudonym(x: str, key: str) -> str:
     email = f"concat({string_feistel(local, key + 'e')}, substr({x}, length({local}) + 1))"
     quoted = f"regexp_extract({x}, '\"(.*)\"', 1)"
     secret = f"concat(substr({x}, 1, instr({x}, '\"')), {string_feistel(quoted, key + 's')}, '\"')"
+    bare = f"regexp_extract({x}, '[=:]\\\\s*(.*)$', 1)"
+    unquoted = f"concat(substr({x}, 1, length({x}) - length({bare})), {string_feistel(bare, key + 's')})"
+    cloud = f"concat('AKIA', {string_feistel(f'substr({x}, 5)', key + 'a')})"
     octets = _let("o", f"transform(split({x}, '[.]'), v -> cast(v AS int))", f"IF(array_max(o) <= 255, {_halves('o[0] * 256 + o[1]', 'o[2] * 256 + o[3]', 65536, 65536, key + 'i', "concat_ws('.', p.l div 256, p.l % 256, p.r div 256, p.r % 256)")}, {x})")
-    kept = f"substr({x}, 1, length({x}) - 1)"
-    card = _let("m", string_feistel(kept, key + "c"), f"concat(m, (10 - {_luhn_sum("regexp_replace(m, '[^0-9]', '')", True)} % 10) % 10)")
-    card = f"IF(length({digits}) BETWEEN 13 AND 19 AND {_luhn_sum(digits, False)} % 10 = 0, {card}, {x})"
-    body = string_feistel(f"substr({x}, 5)", key + "b")
-    iban = _let("m", body, f"concat(substr({x}, 1, 2), lpad(98 - {_mod97(f"concat(m, substr({x}, 1, 2), '00')")}, 2, '0'), m)")
-    iban = f"IF({_mod97(f'concat(substr({x}, 5), substr({x}, 1, 4))')} = 1, {iban}, {x})"
-    national = f"IF({x} RLIKE '^(000|666|9)', {x}, {string_feistel(x, key + 'n')})"
+    kept = f"substr({digits}, 1, length({digits}) - 1)"
+    card = _let("m", string_feistel(kept, key + "c"), f"concat(m, (10 - {_luhn_sum('m', True)} % 10) % 10)")
+    card = f"IF(length({digits}) BETWEEN 13 AND 19 AND {_luhn_sum(digits, False)} % 10 = 0, {_filled(x, card)}, {x})"
+    body = string_feistel("substr(n, 5)", key + "b")
+    made = _let("m", body, f"concat(substr(n, 1, 2), lpad(98 - {_mod97("concat(m, substr(n, 1, 2), '00')")}, 2, '0'), m)")
+
+    def iban_of(y: str) -> str:
+        """The pseudonym of y, or null."""
+        return _let("n", f"replace({y}, ' ', '')", f"IF({_mod97('concat(substr(n, 5), substr(n, 1, 4))')} = 1, {_filled(y, made, '0-9A-Z')}, NULL)")
+
+    # the last group may be a word that follows
+    shorter = f"regexp_replace({x}, ' [A-Z0-9]{{1,4}}$', '')"
+    iban = f"coalesce({iban_of(x)}, IF({x} LIKE '% %', {_let('y', shorter, f'concat({iban_of("y")}, substr({x}, length(y) + 1))')}, NULL), {x})"
+    groups = "filter(split(h, ':'), g -> g != '')"
+    zeros = "array_repeat('0000', 8 - size(filter(split(h, ':'), g -> g != '')))"
+    padded = "transform({0}, g -> lpad(g, 4, '0'))"
+    split_at = "regexp_extract(h, '^(.*)::', 1)"
+    left, right = (f"filter(split({side}, ':'), g -> g != '')" for side in (split_at, "regexp_extract(h, '::(.*)$', 1)"))
+    whole = f"array_join(IF(h LIKE '%::%', concat({padded.format(left)}, {zeros}, {padded.format(right)}), {padded.format(groups)}), '')"
+    ip6 = _let("h", f"lower({x})", _let("m", hex_feistel(whole, key + "6"), "array_join(transform(sequence(0, 7), g -> substr(m, 4 * g + 1, 4)), ':')"))
+    national = f"IF({x} RLIKE '^(000|666|9)', {x}, {_filled(x, string_feistel(digits, key + 'n'))})"
     turned = f"concat(substr(w, 4, 3), substr(w, 1, 3), substr(w, 7))"
     walk = _date(turned, "MM/dd/yyyy", key + "d")
     again = f"aggregate(sequence(1, 64), {x}, (w, z) -> IF(z > 1 AND substr(w, 1, 2) > '12', w, {_let('y', walk, "coalesce(concat(substr(y, 4, 3), substr(y, 1, 3), substr(y, 7)), w)")}))"
     slashed = f"coalesce({_date(x, 'MM/dd/yyyy', key + 'd')}, {again})"
     cases = (
-        (f"{x} LIKE '%@%' AND {x} NOT LIKE '%\"'", email), (f"{x} LIKE '%\"'", secret), (f"{x} RLIKE '^[A-Z]'", iban),
+        (f"{x} LIKE '%@%' AND {x} NOT LIKE '%\"'", email), (f"{x} LIKE '%\"'", secret), (f"{x} RLIKE '^(?i:token|api|secret|password)'", unquoted),
+        (f"{x} LIKE 'AKIA%' AND length({x}) = 20", cloud), (f"{x} RLIKE '^[0-9A-Fa-f]{{1,4}}:'", ip6), (f"{x} RLIKE '^[A-Z]'", iban),
         (f"{x} RLIKE '^[0-9]{{1,3}}([.][0-9]{{1,3}}){{3}}$'", octets),
         (f"{x} RLIKE '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$'", f"coalesce({_date(x, 'yyyy-MM-dd', key + 'd')}, {x})"),
         (f"{x} RLIKE '^[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}$'", slashed),
         (f"{x} RLIKE '^[0-9]{{2}}[.][0-9]{{2}}[.][0-9]{{4}}$'", f"coalesce({_date(x, 'dd.MM.yyyy', key + 'd')}, {x})"),
-        (f"{x} RLIKE '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'", national),
-        (f"length({digits}) < 13 OR {x} LIKE '+%'", string_feistel(x, key + "p")),
+        (f"{x} RLIKE '^[0-9]{{3}}[ -][0-9]{{2}}[ -][0-9]{{4}}$'", national),
+        (f"length({digits}) < 13 OR {x} LIKE '+%'", _filled(x, string_feistel(digits, key + "p"))),
     )
     return "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in cases) + f" ELSE {card} END"
 
 
-def masked(text: Column, key: str = KEY) -> tuple[Column, Column]:
+def session_key(docs: DataFrame) -> str:
+    """The session's key, or that of tests."""
+    return docs.sparkSession.conf.get(KEY_SETTING, KEY)
+
+
+def masked(text: Column, key: str) -> tuple[Column, Column]:
     """The text with its personal values replaced, and how many were."""
     if "'" in key or "\\" in key:
         raise ValueError("the key may hold no quote and no backslash")
@@ -145,8 +193,9 @@ def masked(text: Column, key: str = KEY) -> tuple[Column, Column]:
     return found, parts
 
 
-def pseudonymised(docs: DataFrame, text_col: str = "text", key: str = KEY, count_col: str | None = None) -> DataFrame:
-    """The documents, all columns, with the text replaced; count_col, if given, gets how many values changed."""
+def pseudonymised(docs: DataFrame, text_col: str = "text", key: str | None = None, count_col: str | None = None) -> DataFrame:
+    """The documents, all columns, with the text replaced; count_col, if given, gets how many values changed. key: None for the session's."""
+    key = session_key(docs) if key is None else key
     found, parts = masked(F.col(f"`{text_col}`"), key)
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"), found.alias("found"), parts.alias("parts"))

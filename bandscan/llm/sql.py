@@ -29,20 +29,23 @@ def _lower(text: str) -> str:
 
 
 def _op3() -> str:
-    from bandscan.llm.license_scan import PHRASES, TEMPLATES, THRESHOLD
+    from bandscan.llm.license_scan import PHRASES, SIZES, TEMPLATES, THRESHOLD, size_of
 
-    templates = ", ".join(f"('{k}', list_distinct(string_split('{v}', ' ')))" for k, v in TEMPLATES.items())
+    templates = ", ".join(f"('{k}', {size_of(v)}, list_distinct(string_split('{v}', ' ')))" for k, v in TEMPLATES.items())
+    sizes = ", ".join(f"({x})" for x in SIZES)
     phrases = ", ".join(f"('{v}', string_split('{k}', ' '))" for k, v in PHRASES.items())
     return rf"""
-WITH tpl(label, tokens) AS (VALUES {templates}),
+WITH tpl(label, size, tokens) AS (VALUES {templates}),
+sz(size) AS (VALUES {sizes}),
 phrase(label, said) AS (VALUES {phrases}),
 d AS (SELECT doc_id, {_lower("text")} AS t FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(t, '{_WORD}') AS w FROM d),
 pos AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w),
 hit AS (SELECT doc_id, i, label FROM pos, phrase WHERE w[i + 1 : i + len(said)] = said),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list(DISTINCT label)) AS labels FROM hit GROUP BY doc_id),
-line AS (SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{_WORD}')) AS b FROM d),
-carry AS (SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS s FROM line, tpl
+start AS (SELECT doc_id, size, w, unnest(range(0, len(w), size)) AS i FROM w, sz),
+block AS (SELECT doc_id, size, list_distinct(w[i + 1 : i + 2 * size]) AS b FROM start),
+carry AS (SELECT doc_id, label, max(len(list_intersect(b, tokens)) / len(tokens)) AS s FROM block JOIN tpl USING (size)
   WHERE len(list_intersect(b, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) GROUP BY doc_id, label),
 more AS (SELECT doc_id, list(label) AS labels, max(s) AS s FROM carry GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,

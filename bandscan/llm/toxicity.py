@@ -1,25 +1,30 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Labels only say toxic or not, so severity grades are made from label and text:
-0 is not toxic; toxic texts get 1, or 2 if they hold more of the telling
-features than the median toxic text does. The model is P(grade <= k) = logistic(theta_k - w.x): one weight
+Labels only say toxic or not, so severity grades are made from the label and a
+score that does not know it: labelled texts are dealt to folds by their ids,
+and a regression on the other folds scores each fold. Grade 0 is not toxic;
+toxic texts get 1, or 2 if that out-of-fold score is above the median of the
+toxic ones. The model is P(grade <= k) = logistic(theta_k - w.x): one weight
 vector w for all thresholds, theta increasing. x marks which words and word
 beginnings a text holds (ASCII letters folded, everything that is no letter
-apart), hashed to a table of fixed size. Out come the expected severity, the probability of any toxicity, and the decision
-(probability of 0.5 or more).
+apart), hashed to a table of fixed size. Out come the expected severity, the
+probability of any toxicity, and the decision (probability of 0.5 or more).
 
-It is fitted on a bounded sample of labelled rows, `fit_rows`, those with the
-smallest hashes of their ids; only their feature lists reach the driver. A
-feature gets a weight if its share among toxic texts is at least `lift` times
+It is fitted on a bounded sample of labelled documents, `fit_rows`, those with
+the smallest hashes of their ids, one row each; only their feature lists reach
+the driver, of one text at most `fit_features` features, those with the
+smallest hashes (a text of 20,000 words has fewer). A feature gets a weight if its share among toxic texts is at least `lift` times
 and `z_min` standard errors above that among the others, and `min_texts` toxic
-texts hold it; the others weigh nothing, and no weight is negative. What tasks receive is bounded by the
+texts hold it; the others weigh nothing, and as chosen features all speak for
+toxicity, no weight is negative. What tasks receive is bounded by the
 table's size. Scoring is one scan in numpy, without a shuffle.
 
 Defined results: null and empty texts have no features and get the severity of
 the thresholds alone; without labelled rows, or with only toxic or only other
 ones, nothing is toxic and severity is 0; labels without a document or with
-null in toxic are not used; repeated label rows
-each count; repeated documents each get a row; other columns are kept by
+null in toxic are not used; of several labels of an id the highest counts, and
+of several texts of an id the one with the smallest hash; repeated documents
+each get a row; very long texts are scored whole; other columns are kept by
 clean() and ignored by scored().
 """
 
@@ -33,9 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandscan.llm.common import by_batch
-from bandscan.llm.numtext import FOLDED, blocks, prefix_sums, separators, span_hash, word_spans
+from bandscan.llm.numtext import FOLDED, blocks, mix, prefix_sums, separators, span_hash, word_spans
 
-FIT_ROWS, BITS = 4000, 20
+FIT_ROWS, FIT_FEATURES, FOLDS, BITS = 4000, 20_000, 5, 20
 #: Bytes of the word beginnings that are features beside the words themselves.
 PREFIXES = (3, 4, 5, 6, 7)
 _APART = separators("letters")
@@ -72,23 +77,45 @@ def features(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarra
     return np.concatenate(found), np.cumsum(np.concatenate(sizes))
 
 
-def fitted(toxic: np.ndarray, idx: np.ndarray, at: np.ndarray, z_min: float = 4.0, lift: float = 5.0, min_texts: int = 4, l2: float = 0.02, rounds: int = 500) -> Model:
-    """Penalised maximum likelihood by gradient steps with adaptive sizes."""
-    if not toxic.any() or toxic.all():
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
-    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
+def _chosen(toxic: np.ndarray, idx: np.ndarray, row: np.ndarray, z_min: float, lift: float, min_texts: int) -> np.ndarray:
+    """The features that tell toxic texts from others."""
     n1, n0 = toxic.sum(), (~toxic).sum()
     c1 = np.bincount(idx[toxic[row]], minlength=1 << BITS)
     c0 = np.bincount(idx[~toxic[row]], minlength=1 << BITS)
     p = (c1 + c0) / (n1 + n0)
     z = (c1 / n1 - c0 / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
-    chosen = np.flatnonzero((z >= z_min) & (c1 / n1 >= lift * c0 / n0) & (c1 >= min_texts))
+    return np.flatnonzero((z >= z_min) & (c1 / n1 >= lift * c0 / n0) & (c1 >= min_texts))
+
+
+def fitted(toxic: np.ndarray, idx: np.ndarray, at: np.ndarray, folds: int = FOLDS, **options) -> Model:
+    """The model of texts (labels toxic, features idx from at[k] to at[k + 1]); grades come from scores of other folds' models."""
+    if not toxic.any() or toxic.all():
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    fold, outside = np.arange(len(toxic)) % folds, np.zeros(len(toxic))
+    for k in range(folds):
+        here = np.flatnonzero(fold != k)
+        if not toxic[here].any() or toxic[here].all():
+            continue
+        parts = [idx[at[i] : at[i + 1]] for i in here]
+        model = regression(toxic[here].astype(int), np.concatenate(parts), np.cumsum([0, *map(len, parts)]), **options)
+        weigh = np.zeros(1 << BITS)
+        weigh[model.chosen] = model.weights
+        sums = np.concatenate([[0.0], np.cumsum(weigh[idx])])
+        out = np.flatnonzero(fold == k)
+        outside[out] = (sums[at[1:]] - sums[at[:-1]])[out]
+    severe = toxic & (outside > np.median(outside[toxic]))
+    return regression(toxic.astype(int) + severe, idx, at, **options)
+
+
+def regression(grades: np.ndarray, idx: np.ndarray, at: np.ndarray, z_min: float = 4.0, lift: float = 5.0, min_texts: int = 4, l2: float = 0.02, rounds: int = 500) -> Model:
+    """Cumulative-link regression on grades: penalised maximum likelihood by gradient steps with adaptive sizes."""
+    toxic = grades > 0
+    row = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(at))
+    chosen = _chosen(toxic, idx, row, z_min, lift, min_texts)
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     use = place[idx] >= 0
     col, row = place[idx[use]], row[use]
-    many = np.bincount(row, minlength=len(toxic))
-    grades = np.where(toxic, np.where(many > np.median(many[toxic]), 2, 1), 0)
     top = int(grades.max())
     above = np.stack([grades > k for k in range(top)], 1).astype(float)
     share = np.clip(above.mean(0), 1e-3, 1 - 1e-3)
@@ -118,19 +145,21 @@ def fitted(toxic: np.ndarray, idx: np.ndarray, at: np.ndarray, z_min: float = 4.
     return Model(chosen, w, theta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
-    """Fits on the documents of at most `fit_rows` labelled rows."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_features: int = FIT_FEATURES) -> Model:
+    """Fits on at most `fit_rows` labelled documents."""
     toxic = (F.col(toxic_col) != 0).cast("int")
-    chosen = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), toxic.alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id", "toxic").limit(fit_rows)  # bounded, so it may be broadcast
+    chosen = labels.where(F.col(toxic_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(toxic).alias("toxic"))
+    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # bounded, so it may be broadcast
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "toxic", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         idx, at = features(b.column(2))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([idx[x:y].tobytes() for x, y in zip(at, at[1:])], pa.binary())], names=["id", "toxic", "idx"])
+        parts = [idx[x:y][np.argsort(mix(idx[x:y]), kind="stable")[:fit_features]] for x, y in zip(at, at[1:])]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.sort(x).tobytes() for x in parts], pa.binary())], names=["id", "toxic", "idx"])
 
     id_type = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(by_batch(run), f"id {id_type}, toxic int, idx binary").toArrow().sort_by([("id", "ascending"), ("toxic", "ascending"), ("idx", "ascending")])
+    got = rows.mapInArrow(by_batch(run), f"id {id_type}, toxic int, idx binary")
+    got = got.groupBy("id", "toxic").agg(F.min_by("idx", F.struct(F.xxhash64("idx"), "idx")).alias("idx")).toArrow().sort_by("id")  # at most fit_rows rows
     parts = [np.frombuffer(x, np.int32) for x in got["idx"].to_pylist()]
     at = np.cumsum([0, *map(len, parts)])
     return fitted(np.array(got["toxic"].to_pylist(), bool), np.concatenate([*parts, np.zeros(0, np.int32)]), at)
