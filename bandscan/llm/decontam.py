@@ -2,21 +2,26 @@
 
 A window is `size` consecutive words of an item, or all words of a shorter
 one. Its shingles are its pairs of neighbouring words (its only word, if it
-has one). All windows' shingles are counted over all documents; a window's
-prefix is its rarest shingle, because a document that holds the window must
-hold that shingle, at a known distance from the window's start. So only
-document positions with some window's prefix are joined, the positional and
-length bounds discard a start before the text's first word or an end behind
-its last, and what remains is verified word by word. Windows with a shingle
-that no document has cannot occur and are left out.
-
-The windows are broadcast only while their measured size stays under a bound;
-above it the same join is shuffled by prefix. Hits are merged per document.
+has one). One scan lists the places in all documents where some window's
+shingle stands, and from them shingles are counted; a window's prefix is its
+rarest shingle, because a document that holds the window must hold that
+shingle, at a known distance from the window's start. So only places with some
+window's prefix are starts to try; the positional and length bounds discard
+one before the text's first word or with an end behind its last. Windows with
+a shingle that no document has cannot occur and are left out. Starts to try
+meet their document once, as a list, and are verified there word by word; other
+documents are not read again for it.
+
+Shingles, and documents with starts, are broadcast only while their measured
+size stays under a bound; above it the same joins are shuffled. Rows that are
+shuffled by shingle hold a place, never a text.
 
 Defined results: null or empty texts have no words and no hits; an item
 without words has no windows; items with equal texts all count; an item whose
-id is null counts for hits, not among items; repeated rows each get a row;
-empty tables on either side give no hits; other columns are ignored.
+id is null counts for hits, not among items; rows of equal id with different
+texts are told apart by a hash of the text and each get their own result;
+repeated rows each get a row; empty tables on either side give no hits; very
+long texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,12 +45,11 @@ def shingle(first: Column, second: Column) -> Column:
 
 
 def positions(docs: DataFrame, single: bool) -> DataFrame:
-    """A row (keys of docs, words, pos, key) for each word of each document."""
-    at = docs.select("*", F.posexplode("words").alias("pos", "word"))
+    """(id, h, n, pos, key): a row for each word of each document (id, h, words)."""
+    at = docs.select("id", "h", F.size("words").alias("n"), "words", F.posexplode("words").alias("pos", "word"))
     pair = shingle(F.col("word"), F.get("words", F.col("pos") + 1))
-    if not single:
-        return at.withColumn("key", pair)
-    return at.withColumn("key", F.explode(F.array_distinct(F.array(pair, F.xxhash64("word")))))
+    key = F.explode(F.array_distinct(F.array(pair, F.xxhash64("word")))) if single else pair
+    return at.select("id", "h", "n", "pos", key.alias("key"))
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
@@ -55,32 +59,50 @@ def item_windows(items: DataFrame, item_col: str, text_col: str, size: int) -> D
     return w.select("item", F.explode(wins).alias("win")).groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def prefixed(docs: DataFrame, wins: DataFrame, single: bool, small: bool) -> DataFrame:
-    """Adds each window's prefix: its rarest shingle over all documents (ties: smaller key), and where it stands in the window."""
-    offs = wins.select("win", "items", F.posexplode(F.expr("if(size(win) = 1, array(xxhash64(win[0])), transform(sequence(0, size(win) - 2), i -> xxhash64(win[i], win[i + 1])))")).alias("off", "key"))
-    keys = offs.select("key").distinct()
-    seen = positions(docs, single).select("key").join(F.broadcast(keys) if small else keys, "key", "left_semi")
-    counts = seen.groupBy("key").agg(F.count("*").alias("n"))
+def shingles(wins: DataFrame) -> DataFrame:
+    """(win, items, off, key): each window's shingles and where they stand in it."""
+    return wins.select("win", "items", F.posexplode(F.expr("if(size(win) = 1, array(xxhash64(win[0])), transform(sequence(0, size(win) - 2), i -> xxhash64(win[i], win[i + 1])))")).alias("off", "key"))
+
+
+def prefixed(offs: DataFrame, spots: DataFrame) -> DataFrame:
+    """(win, items, key, off): each window's rarest shingle over all documents (ties: smaller key), and where it stands in the window."""
+    counts = spots.groupBy("key").agg(F.count("*").alias("n"))
     ranked = offs.join(counts, "key", "left").groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key", "off")).alias("p"), F.first("items").alias("items"))
     return ranked.where("p.n > 0").select("win", "items", F.col("p.key").alias("key"), F.col("p.off").alias("off"))
 
 
+def _maybe_broadcast(rows: DataFrame, size: int, bound: int) -> DataFrame:
+    return F.broadcast(rows) if size <= bound else rows
+
+
 def hits(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, h, n_hit, items) of the documents with some hit; h is a hash of the text."""
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    worded = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words(F.col(text_col)).alias("words"))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     wins = stored(item_windows(items, item_col, item_text_col, size), folder, "windows")
-    facts = wins.agg(F.coalesce(F.sum(F.length(F.array_join("win", " ")) + 8 * F.size("items") + 64), F.lit(0)).alias("bytes"), F.coalesce(F.bool_or(F.size("win") == 1), F.lit(False)).alias("single")).first()
-    small = facts["bytes"] <= broadcast_bytes
-    wins = stored(prefixed(worded, wins, facts["single"], small), folder, "prefixed")
-    removed(spark, f"{folder}/windows")
-    found = positions(worded, facts["single"]).join(F.broadcast(wins) if small else wins, "key")
-    found = found.where("pos >= off AND pos - off + size(win) <= size(words)").where("slice(words, pos - off + 1, size(win)) = win")
-    return found.groupBy("id", "h").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(pos - off, pos - off + size(win) - 1)"))))).cast("long").alias("n_hit"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-    )
+    facts = wins.agg(F.coalesce(F.sum(F.size("win")), F.lit(0)).alias("keys"), F.coalesce(F.bool_or(F.size("win") == 1), F.lit(False)).alias("single")).first()
+    keys = _maybe_broadcast(shingles(wins).select("key").distinct(), 16 * facts["keys"], broadcast_bytes)
+    worded = texts.select("id", "h", words(F.col("text")).alias("words"))
+    spots = stored(positions(worded, facts["single"]).join(keys, "key", "left_semi"), folder, "spots")
+    tries = spots.join(prefixed(shingles(wins), spots), "key").where("pos >= off AND pos - off + size(win) <= n")
+    tries = tries.groupBy("id", "h").agg(F.collect_set(F.struct((F.col("pos") - F.col("off")).alias("at"), "win", "items")).alias("tries"))
+    tries = stored(tries, folder, "tries")
+    removed(spark, f"{folder}/spots", f"{folder}/windows")
+    bytes_of = "aggregate(tries, 32L, (s, t) -> s + 16 + 8 * size(t.items) + aggregate(t.win, 0L, (u, w) -> u + 8 + octet_length(w)))"
+    sent = tries.agg(F.coalesce(F.sum(F.expr(bytes_of)), F.lit(0))).first()[0]
+    tries = _maybe_broadcast(tries.select(F.col("id").alias("tid"), F.col("h").alias("th"), "tries"), sent, broadcast_bytes)
+    met = texts.join(tries, F.expr("id <=> tid AND h = th")).select("id", "h", words(F.col("text")).alias("words"), "tries")
+    met = met.select("id", "h", F.expr("filter(tries, t -> slice(words, t.at + 1, size(t.win)) = t.win)").alias("hits")).where("size(hits) > 0")
+    n_hit = "size(array_distinct(flatten(transform(hits, t -> sequence(t.at, t.at + size(t.win) - 1)))))"
+    found = met.select("id", "h", F.expr(n_hit).cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(flatten(transform(hits, t -> t.items))))").alias("items"))
+    found = stored(found.dropDuplicates(["id", "h"]), folder, "found")
+    removed(spark, f"{folder}/tries")
+    return found
+
+
+#: Documents with hits that may be broadcast to where all documents are read.
+BROADCAST_DOCS = 500_000
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -88,6 +110,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.regexp_count(ascii_lower(F.col(text_col)), F.lit(WORD_ALNUM)).cast("long").alias("n_words"))
     found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
     found = found.select(F.col("id").alias("hid"), F.col("h").alias("hh"), "n_hit", "items")
+    # more than that, or many items each, and rows of (id, h, n_words) are shuffled
+    weight = found.agg(F.coalesce(F.sum(1 + F.size("items") / 8), F.lit(0))).first()[0]
+    found = _maybe_broadcast(found, weight, BROADCAST_DOCS)
     out = every.join(found, F.expr("id <=> hid AND h = hh"), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), (n_hit > 0).alias("contaminated"))
@@ -96,4 +121,5 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns, without any hit."""
     found = hits(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__hid"), F.col("h").alias("__hh"))
+    found = _maybe_broadcast(found, found.count(), BROADCAST_DOCS)
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.xxhash64(text_col) == F.col("__hh")), "left_anti")

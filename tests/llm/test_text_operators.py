@@ -263,6 +263,15 @@ def test_decontamination(spark, bound):
     assert decontam.contamination(docs.limit(0), its).count() == 0
 
 
+def test_decontamination_of_long_texts_and_equal_ids(spark):
+    """Without broadcasts, texts of 20,000 words meet a window whose rarest pair is common."""
+    item = "aa bb cc dd ee ff gg hh ii jj"
+    long = " ".join(["aa bb"] * 10_000)
+    docs = [(1, long), (1, long + " " + item), (2, item + " " + long + " " + item), (2, item + " " + long + " " + item), (None, item)]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"), broadcast_bytes=0)
+    assert sorted((r["n_words"], r["n_hit"], r["doc_id"] or 0) for r in got.collect()) == [(10, 10, 0), (20_000, 0, 1), (20_010, 10, 1), (20_020, 20, 2), (20_020, 20, 2)]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 4)))
