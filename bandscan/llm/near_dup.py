@@ -253,11 +253,14 @@ def leaf(short: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return x, y, np.where(dense[label] & with_some, label, -1)
 
 
-def _leaves(members: DataFrame, kind: str) -> DataFrame:
-    """(grp, a, b) of leaves' members (path, id, comp, short): candidates with a null grp, dense groups' members with a null b."""
+def _leaves(members: DataFrame, kind: str, dense: bool = True) -> DataFrame:
+    """(a, b, ids) of leaves' members (path, id, comp, short): candidates (a, b), and the members of each dense group as ids.
 
-    def edges(b: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Candidates by row, and (group, row) of dense groups, of whole nodes in order of path."""
+    dense: without it, only the candidates.
+    """
+
+    def edges(b: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Candidates by row, and the rows of each dense group, of whole nodes in order of path."""
         path = b.column("path").to_numpy()
         at = np.concatenate([[0], np.flatnonzero(path[1:] != path[:-1]) + 1, [len(path)]])
         size = np.diff(at)
@@ -266,7 +269,7 @@ def _leaves(members: DataFrame, kind: str) -> DataFrame:
         comp = pc.dictionary_encode(b.column("comp").combine_chunks()).indices.to_numpy()
         node = np.repeat(np.arange(len(size)), size)
         few = (size <= FEW)[node]
-        xs, ys, groups, rows = [], [], [], []
+        xs, ys, groups = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
         for k in range(1, FEW):
             i = np.flatnonzero(few[:-k] & (node[k:] == node[:-k]) & (comp[k:] != comp[:-k]))
             i = i[(short[i] == short[i + k]).sum(1) >= AGREED]
@@ -277,11 +280,8 @@ def _leaves(members: DataFrame, kind: str) -> DataFrame:
             x, y, group = leaf(short[here], comp[here])
             xs.append(x + at[n])
             ys.append(y + at[n])
-            mine = np.flatnonzero(group >= 0)
-            groups.append(mix(path[at[n]].astype(np.uint64) + group[mine].astype(np.uint64)).view(np.int64))
-            rows.append(mine + at[n])
-        none = np.zeros(0, np.int64)
-        return tuple(np.concatenate([none, *v]) for v in (xs, ys, groups, rows))
+            groups += [np.flatnonzero(group == g) + at[n] for g in np.unique(group[group >= 0])] if dense else []
+        return np.concatenate(xs), np.concatenate(ys), groups
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -297,15 +297,17 @@ def _leaves(members: DataFrame, kind: str) -> DataFrame:
                 whole, held = held.slice(0, cut), held.slice(cut)
             if whole is None or not whole.num_rows:
                 continue
-            x, y, group, row = edges(whole)
+            x, y, groups = edges(whole)
             ids = whole.column("id").combine_chunks()
+            none = lambda n, t=ids.type: pa.nulls(n, t)
             if len(x):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), ids.take(pa.array(x)), ids.take(pa.array(y))], names=["grp", "a", "b"])
-            if len(row):
-                yield pa.RecordBatch.from_arrays([pa.array(group), ids.take(pa.array(row)), pa.nulls(len(row), ids.type)], names=["grp", "a", "b"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), none(len(x), pa.list_(ids.type))], names=["a", "b", "ids"])
+            if groups:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, groups)]), pa.int32()), ids.take(pa.array(np.concatenate(groups))))
+                yield pa.RecordBatch.from_arrays([none(len(groups)), none(len(groups)), lists], names=["a", "b", "ids"])
 
     dealt = members.repartition("path").sortWithinPartitions("path")
-    return dealt.select("path", "id", "comp", "short").mapInArrow(run, f"grp long, a {kind}, b {kind}")
+    return dealt.select("path", "id", "comp", "short").mapInArrow(run, f"a {kind}, b {kind}, ids array<{kind}>")
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -422,8 +424,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for turn in range(TURNS):
             part = f"xxhash64(path, {turn}, pmod(xxhash64(id, {level}, {turn}), ceil(2 * m / {bound})))"
             tried = links.labelled(held.selectExpr(f"{part} AS path", "id"))
-            found = _leaves(tried.join(short, "id"), kind).where("b IS NOT NULL").select("a", "b")
-            links.add(found)
+            links.add(_leaves(tried.join(short, "id"), kind, dense=False).select("a", "b"))
         labelled = stored(links.labelled(held.select("path", "id")), folder, f"labelled-{level}")
         still = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("path")
         rows = stored(labelled.join(still, "path").select("path", "id"), folder, f"open-{level}")
@@ -441,7 +442,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = members.unionAll(one)
     found = stored(_leaves(links.labelled(members).join(short, "id"), kind), folder, "leaves")
     links.add(found.where("b IS NOT NULL").select("a", "b"))
-    groups.append(found.where("grp IS NOT NULL").select("grp", F.col("a").alias("id")))
+    groups.append(found.where("ids IS NOT NULL").select(F.xxhash64("ids").alias("grp"), F.explode("ids").alias("id")))
     for one in groups:
         links.within(one)
     comps = links.comps
