@@ -12,9 +12,9 @@ a shingle that no document has cannot occur and are left out. Starts to try
 meet their document once, as a list, and are verified there word by word; other
 documents are not read again for it.
 
-Shingles, and documents with starts, are broadcast only while their measured
-size stays under a bound; above it the same joins are shuffled. Rows that are
-shuffled by shingle hold a place, never a text.
+Shingles, and ids of documents with starts, are broadcast only while their
+measured size stays under a bound; above it the same joins are shuffled. Rows
+that are shuffled by shingle hold a place, never a text.
 
 Defined results: null or empty texts have no words and no hits; an item
 without words has no windows; items with equal texts all count; an item whose
@@ -45,11 +45,14 @@ def shingle(first: Column, second: Column) -> Column:
 
 
 def positions(docs: DataFrame, single: bool) -> DataFrame:
-    """(id, h, n, pos, key): a row for each word of each document (id, h, words)."""
-    at = docs.select("id", "h", F.size("words").alias("n"), "words", F.posexplode("words").alias("pos", "word"))
-    pair = shingle(F.col("word"), F.get("words", F.col("pos") + 1))
-    key = F.explode(F.array_distinct(F.array(pair, F.xxhash64("word")))) if single else pair
-    return at.select("id", "h", "n", "pos", key.alias("key"))
+    """(id, h, n, pos, key, top): a row for each word of each document (id, h, words); top marks one row of each document, also of empty ones."""
+    at = docs.select("*", F.posexplode_outer("words").alias("pos", "word"))
+    pair, top = shingle(F.col("word"), F.get("words", F.col("pos") + 1)), F.coalesce(F.col("pos") == 0, F.lit(True))
+    at = at.select("id", "h", F.coalesce(F.size("words"), F.lit(0)).alias("n"), "pos", "word", pair.alias("pair"), top.alias("top"))
+    if not single:
+        return at.select("id", "h", "n", "pos", F.col("pair").alias("key"), "top")
+    both = at.select("id", "h", "n", "pos", "top", F.posexplode(F.array_distinct(F.array("pair", F.xxhash64("word")))).alias("k", "key"))
+    return both.select("id", "h", "n", "pos", "key", (F.col("top") & (F.col("k") == 0)).alias("top"))
 
 
 def item_windows(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
@@ -75,51 +78,59 @@ def _maybe_broadcast(rows: DataFrame, size: int, bound: int) -> DataFrame:
     return F.broadcast(rows) if size <= bound else rows
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(id, h, n_hit, items) of the documents with some hit; h is a hash of the text."""
-    spark = docs.sparkSession
-    folder = shared_dir(spark)
-    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    wins = stored(item_windows(items, item_col, item_text_col, size), folder, "windows")
-    facts = wins.agg(F.coalesce(F.sum(F.size("win")), F.lit(0)).alias("keys"), F.coalesce(F.bool_or(F.size("win") == 1), F.lit(False)).alias("single")).first()
-    keys = _maybe_broadcast(shingles(wins).select("key").distinct(), 16 * facts["keys"], broadcast_bytes)
-    worded = texts.select("id", "h", words(F.col("text")).alias("words"))
-    spots = stored(positions(worded, facts["single"]).join(keys, "key", "left_semi"), folder, "spots")
-    tries = spots.join(prefixed(shingles(wins), spots), "key").where("pos >= off AND pos - off + size(win) <= n")
-    tries = tries.groupBy("id", "h").agg(F.collect_set(F.struct((F.col("pos") - F.col("off")).alias("at"), "win", "items")).alias("tries"))
-    tries = stored(tries, folder, "tries")
-    removed(spark, f"{folder}/spots", f"{folder}/windows")
-    bytes_of = "aggregate(tries, 32L, (s, t) -> s + 16 + 8 * size(t.items) + aggregate(t.win, 0L, (u, w) -> u + 8 + octet_length(w)))"
-    sent = tries.agg(F.coalesce(F.sum(F.expr(bytes_of)), F.lit(0))).first()[0]
-    tries = _maybe_broadcast(tries.select(F.col("id").alias("tid"), F.col("h").alias("th"), "tries"), sent, broadcast_bytes)
-    met = texts.join(tries, F.expr("id <=> tid AND h = th")).select("id", "h", words(F.col("text")).alias("words"), "tries")
-    met = met.select("id", "h", F.expr("filter(tries, t -> slice(words, t.at + 1, size(t.win)) = t.win)").alias("hits")).where("size(hits) > 0")
-    n_hit = "size(array_distinct(flatten(transform(hits, t -> sequence(t.at, t.at + size(t.win) - 1)))))"
-    found = met.select("id", "h", F.expr(n_hit).cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(flatten(transform(hits, t -> t.items))))").alias("items"))
-    found = stored(found.dropDuplicates(["id", "h"]), folder, "found")
-    removed(spark, f"{folder}/tries")
-    return found
+class _Spots:
+    """Windows, and one scan of the documents: where their shingles stand, and a row with each document's words."""
+
+    def __init__(self, docs: DataFrame, items: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text_col: str, bound: int):
+        self.folder, self.bound = shared_dir(docs.sparkSession), bound
+        self.texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+        self.wins = stored(item_windows(items, item_col, item_text_col, size), self.folder, "windows")
+        facts = self.wins.agg(F.coalesce(F.sum(F.size("win")), F.lit(0)).alias("keys"), F.coalesce(F.bool_or(F.size("win") == 1), F.lit(False)).alias("single")).first()
+        keys = shingles(self.wins).select(F.col("key").alias("wanted")).distinct()
+        worded = self.texts.select("id", "h", words(F.col("text")).alias("words"))
+        met = positions(worded, facts["single"]).join(_maybe_broadcast(keys, 16 * facts["keys"], bound), F.expr("key = wanted"), "left").where("top OR wanted IS NOT NULL")
+        self.all = stored(met.select("id", "h", "n", "pos", F.col("wanted").alias("key"), "top"), self.folder, "spots")
+
+    def hits(self) -> DataFrame:
+        """(id, h, n_hit, items) of the documents with some hit."""
+        spark, spots = self.texts.sparkSession, self.all.where("key IS NOT NULL").select("id", "h", "n", "pos", "key")
+        tries = spots.join(prefixed(shingles(self.wins), spots), "key").where("pos >= off AND pos - off + size(win) <= n")
+        tries = tries.groupBy("id", "h").agg(F.collect_set(F.struct((F.col("pos") - F.col("off")).alias("at"), "win", "items")).alias("tries"))
+        tries = stored(tries, self.folder, "tries")
+        some = tries.select(F.col("id").alias("tid"), F.col("h").alias("th"))
+        some = _maybe_broadcast(some, some.count(), BROADCAST_DOCS)
+        # only these documents' words are shuffled to their lists
+        picked = self.texts.join(some, F.expr("id <=> tid AND h = th"), "left_semi").select("id", "h", words(F.col("text")).alias("words"))
+        picked = stored(picked, self.folder, "picked")
+        met = picked.join(tries.select(F.col("id").alias("tid"), F.col("h").alias("th"), "tries"), F.expr("id <=> tid AND h = th"))
+        met = met.select("id", "h", F.expr("filter(tries, t -> slice(words, t.at + 1, size(t.win)) = t.win)").alias("hits")).where("size(hits) > 0")
+        n_hit = "size(array_distinct(flatten(transform(hits, t -> sequence(t.at, t.at + size(t.win) - 1)))))"
+        found = met.select("id", "h", F.expr(n_hit).cast("long").alias("n_hit"), F.expr("array_sort(array_distinct(flatten(transform(hits, t -> t.items))))").alias("items"))
+        found = stored(found.dropDuplicates(["id", "h"]), self.folder, "found")
+        removed(spark, *(f"{self.folder}/{x}" for x in ("tries", "picked", "windows")))
+        return found
 
 
 #: Documents with hits that may be broadcast to where all documents are read.
 BROADCAST_DOCS = 500_000
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, contaminated) for each document."""
-    every = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.regexp_count(ascii_lower(F.col(text_col)), F.lit(WORD_ALNUM)).cast("long").alias("n_words"))
-    found = hits(docs, items, id_col=id_col, text_col=text_col, **options)
-    found = found.select(F.col("id").alias("hid"), F.col("h").alias("hh"), "n_hit", "items")
+    spots = _Spots(docs, items, size, id_col, text_col, item_col, item_text_col, broadcast_bytes)
+    every = spots.all.where("top").select("id", "h", F.col("n").cast("long").alias("n_words"))
+    found = spots.hits().select(F.col("id").alias("hid"), F.col("h").alias("hh"), "n_hit", "items")
     # more than that, or many items each, and rows of (id, h, n_words) are shuffled
     weight = found.agg(F.coalesce(F.sum(1 + F.size("items") / 8), F.lit(0))).first()[0]
-    found = _maybe_broadcast(found, weight, BROADCAST_DOCS)
-    out = every.join(found, F.expr("id <=> hid AND h = hh"), "left")
+    out = every.join(_maybe_broadcast(found, weight, BROADCAST_DOCS), F.expr("id <=> hid AND h = hh"), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"), (n_hit > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents, all columns, without any hit."""
-    found = hits(docs, items, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__hid"), F.col("h").alias("__hh"))
+    spots = _Spots(docs, items, size, id_col, text_col, item_col, item_text_col, broadcast_bytes)
+    found = spots.hits().select(F.col("id").alias("__hid"), F.col("h").alias("__hh"))
+    removed(docs.sparkSession, f"{spots.folder}/spots")
     found = _maybe_broadcast(found, found.count(), BROADCAST_DOCS)
     return docs.join(found, F.col(id_col).eqNullSafe(F.col("__hid")) & (F.xxhash64(text_col) == F.col("__hh")), "left_anti")
