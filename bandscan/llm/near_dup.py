@@ -254,7 +254,7 @@ def leaf(short: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _leaves(members: DataFrame, kind: str, dense: bool = True) -> DataFrame:
-    """(a, b, ids) of leaves' members (path, id, comp, short): candidates (a, b), and the members of each dense group as ids.
+    """(a, b, ids, ns) of leaves' members (path, id, comp, short, n): candidates (a, b), and the members and set sizes of each dense group.
 
     dense: without it, only the candidates.
     """
@@ -299,15 +299,16 @@ def _leaves(members: DataFrame, kind: str, dense: bool = True) -> DataFrame:
                 continue
             x, y, groups = edges(whole)
             ids = whole.column("id").combine_chunks()
-            none = lambda n, t=ids.type: pa.nulls(n, t)
+            none, names = pa.nulls, ["a", "b", "ids", "ns"]
             if len(x):
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), none(len(x), pa.list_(ids.type))], names=["a", "b", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(x)), ids.take(pa.array(y)), none(len(x), pa.list_(ids.type)), none(len(x), pa.list_(pa.int64()))], names=names)
             if groups:
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, groups)]), pa.int32()), ids.take(pa.array(np.concatenate(groups))))
-                yield pa.RecordBatch.from_arrays([none(len(groups)), none(len(groups)), lists], names=["a", "b", "ids"])
+                ends, rows = pa.array(np.cumsum([0, *map(len, groups)]), pa.int32()), pa.array(np.concatenate(groups))
+                lists = [pa.ListArray.from_arrays(ends, v.take(rows)) for v in (ids, whole.column("n").combine_chunks())]
+                yield pa.RecordBatch.from_arrays([none(len(groups), ids.type), none(len(groups), ids.type), *lists], names=names)
 
     dealt = members.repartition("path").sortWithinPartitions("path")
-    return dealt.select("path", "id", "comp", "short").mapInArrow(run, f"a {kind}, b {kind}, ids array<{kind}>")
+    return dealt.select("path", "id", "comp", "short", "n").mapInArrow(run, f"a {kind}, b {kind}, ids array<{kind}>, ns array<bigint>")
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -332,10 +333,10 @@ class _Links:
         removed(self.docs.sparkSession, f"{self.folder}/pairs-{self.n}")
 
     def within(self, groups: DataFrame) -> None:
-        """Links among all members of each of the groups (grp, id) whose members are not all connected, on full sets."""
+        """Links among all members of each of the groups (grp, id, n) whose members are not all connected, on full sets."""
         self.n += 1
         spark, percent, kind = self.docs.sparkSession, self.percent, groups.schema["id"].dataType.simpleString()
-        groups = self.labelled(groups).join(self.reps.select("id", "n"), "id")
+        groups = self.labelled(groups)
         still = groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         # a group beyond a slice's bounds is dealt to slices, and each two of these meet in a task
         slices = F.expr(f"cast(if(shingles <= {SLICE_SHINGLES} AND m <= {SLICE_MEMBERS}, 1, greatest(2, ceil(2 * shingles / {SLICE_SHINGLES}), ceil(2 * m / {SLICE_MEMBERS}))) AS int)")
@@ -396,12 +397,12 @@ def _roots(reps: DataFrame, first: int, trees: int) -> DataFrame:
     return reps.select(F.explode(F.expr(f"transform(sequence({first}, {first + trees - 1}), c -> xxhash64(c, sig[c % {TOKENS}]))")).alias("path"), "id")
 
 
-def _branched(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """rows (path, id) with the paths of the next level: one token of the path's choice, for a third of the paths a second."""
+def _branched(rows: DataFrame) -> DataFrame:
+    """rows (path, id, sig) with the paths of the next level: one token of the path's choice, for a third of the paths a second."""
     token = lambda salt: f"sig[cast(pmod(xxhash64(path, {salt}), {TOKENS}) AS int)]"
     first, second = (f"xxhash64(path, {k}, {token(k)})" for k in (1, 2))
     paths = F.expr(f"if(pmod(xxhash64(path, 3), 3) = 0, array({first}, {second}), array({first}))")
-    return rows.join(reps.select("id", "sig"), "id").select(F.explode(paths).alias("path"), "id")
+    return rows.select(F.explode(paths).alias("path"), "id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bound: int = BOUND, depth: int = DEPTH) -> DataFrame:
@@ -412,7 +413,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sigs = stored(signatures(docs, size), folder, "sigs")
     in_class = sigs.where("id IS NOT NULL AND n > 0")
     reps = stored(in_class.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("short").alias("short"), F.first("n").alias("n")), folder, "reps")
-    links, short = _Links(docs, reps, folder, size, percent), reps.select("id", "short")
+    links, known = _Links(docs, reps, folder, size, percent), reps.select("id", "short", "n")
     rows, level, small, groups = _roots(reps, 0, TREES), 0, [], []
     while True:
         nodes = stored(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), folder, f"nodes-{level}")
@@ -420,19 +421,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         large = nodes.where(F.col("m") > bound)
         if large.isEmpty():
             break
-        held = stored(rows.join(large, "path"), folder, f"large-{level}")
+        # tokens are joined once a level and stay with the rows
+        held = stored(rows.join(large, "path").join(reps.select("id", "sig", "short", "n"), "id"), folder, f"large-{level}")
         for turn in range(TURNS):
             part = f"xxhash64(path, {turn}, pmod(xxhash64(id, {level}, {turn}), ceil(2 * m / {bound})))"
-            tried = links.labelled(held.selectExpr(f"{part} AS path", "id"))
-            links.add(_leaves(tried.join(short, "id"), kind, dense=False).select("a", "b"))
-        labelled = stored(links.labelled(held.select("path", "id")), folder, f"labelled-{level}")
+            tried = links.labelled(held.selectExpr(f"{part} AS path", "id", "short", "n"))
+            links.add(_leaves(tried, kind, dense=False).select("a", "b"))
+        labelled = stored(links.labelled(held.select("path", "id", "sig", "n")), folder, f"labelled-{level}")
         still = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("path")
-        rows = stored(labelled.join(still, "path").select("path", "id"), folder, f"open-{level}")
+        rows = stored(labelled.join(still, "path").select("path", "id", "sig", "n"), folder, f"open-{level}")
         removed(spark, f"{folder}/large-{level}", f"{folder}/labelled-{level}")
         if level == depth:
-            groups.append(rows.withColumnRenamed("path", "grp"))
+            groups.append(rows.select(F.col("path").alias("grp"), "id", "n"))
             break
-        more = _branched(rows, reps)
+        more = _branched(rows)
         if level == 0:
             often = rows.groupBy("id").agg(F.count("*").alias("c")).where(f"c >= {OFTEN}").select("id")
             more = more.unionAll(_roots(reps.join(often, "id", "left_semi"), TREES, MORE_TREES))
@@ -440,9 +442,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = small[0]
     for one in small[1:]:
         members = members.unionAll(one)
-    found = stored(_leaves(links.labelled(members).join(short, "id"), kind), folder, "leaves")
+    found = stored(_leaves(links.labelled(members).join(known, "id"), kind), folder, "leaves")
     links.add(found.where("b IS NOT NULL").select("a", "b"))
-    groups.append(found.where("ids IS NOT NULL").select(F.xxhash64("ids").alias("grp"), F.explode("ids").alias("id")))
+    dense = found.where("ids IS NOT NULL").select(F.xxhash64("ids").alias("grp"), F.explode(F.arrays_zip("ids", "ns")).alias("m"))
+    groups.append(dense.select("grp", F.col("m.ids").alias("id"), F.col("m.ns").alias("n")))
     for one in groups:
         links.within(one)
     comps = links.comps
