@@ -21,7 +21,8 @@ all bytes of the windows around it.
    A gram with more than `group` different contexts is not gathered: each of
    its windows becomes an anchor of its own, for step 1's method, where the
    context is the window and equality decides.
-4. The covered ranges meet their documents by id, and bytes are removed.
+4. The covered ranges meet their documents by id, and bytes are removed; other
+   documents' texts are not shuffled while the ids of these may be broadcast.
 
 Hashes are 64 bits, compared within equal gram hashes. Apart from step 4's
 join, no text is shuffled but for documents with asked contexts.
@@ -50,6 +51,8 @@ from bandscan.llm.numtext import BYTES as RANDOM
 from bandscan.llm.suffix_array import common_prefixes, suffix_array
 
 SIZE, GRAM, GROUP = 100, 40, 20_000
+#: Documents with something to remove whose ids may be broadcast, so that the other texts are not shuffled.
+BROADCAST_IDS = 1_000_000
 #: Bytes of text whose anchors are deduplicated together, and of contexts in a suffix array.
 BLOCK, SHARD = 2 << 20, 3 << 19
 
@@ -321,7 +324,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for more in covered[1:]:
         ranges = ranges.unionAll(more)
     ranges = ranges.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
-    return texts.join(ranges, ["doc", "tag"], "left").select("id", "text", "ranges")
+    ranges = stored(ranges, folder, "ranges")
+    removed(spark, *(f"{folder}/{x}" for x in ("found", "shards", "deep")))
+    if ranges.count() > BROADCAST_IDS:
+        return texts.join(ranges, ["doc", "tag"], "left").select("id", "text", "ranges")
+    # texts that lose nothing are read where they are; only the others are shuffled to their ranges
+    touched = F.broadcast(ranges.select("doc", "tag"))
+    whole = texts.join(touched, ["doc", "tag"], "left_anti").select("id", "text", F.lit(None).cast(ranges.schema["ranges"].dataType).alias("ranges"))
+    return whole.unionAll(texts.join(touched, ["doc", "tag"], "left_semi").join(ranges, ["doc", "tag"]).select("id", "text", "ranges"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
