@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bandscan.sources.shared import removed, shared_dir
+
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "WORD_ALNUM", "WORD_SPACE", "ascii_lower", "by_batch", "removed", "shared_dir", "shuffle_parts", "stored", "table", "tuned"]
+
 #: Rows of an Arrow batch between the JVM and Python; texts are a few kB, so a batch is a few MB.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
 
@@ -43,18 +44,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which all machines share.
-
-    Only where that setting is unset, as in local tests, one under the
-    machine's temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + os.path.join(tempfile.gettempdir(), "bandscan-shared")
-    return f"{base.rstrip('/')}/bandscan-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it again: lineage ends there."""
     path = f"{folder}/{name}"
@@ -62,14 +51,6 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, *paths: str) -> None:
-    """Deletes intermediate tables that no later step reads."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function that works batch by batch and skips empty results."""
 

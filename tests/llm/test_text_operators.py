@@ -379,3 +379,23 @@ def test_pipeline(spark, tmp_path):
     last = seen["byte_bpe"]
     assert set(last) == set(seen["pii"]) and all(last[k]["decoded_sha256"] == sha(seen["pii"][k]["text"]) for k in last)
     assert {r["doc_id"]: r["ids"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == {k: r["ids"] for k, r in last.items()}
+
+
+def test_pipeline_stages_on_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rows = [(1, None, "a"), (2, "", "b"), (None, "some words that stand here alone", "c"), (4, "one two three four five six", "d"), (4, "one two three four five six", "d"), (5, "one two three four five six", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, items string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, "ten words that no document here holds in this order at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(4, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    out = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, out, str(tmp_path))
+        assert out.columns == docs.columns
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(tuple, out.collect()), key=key) == sorted(rows[:5], key=key)
+    last = corpus_pipeline.STAGES[-1][1](spark, out, str(tmp_path))
+    assert last.count() == 5
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
