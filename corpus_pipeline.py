@@ -4,7 +4,13 @@ become pseudonyms, and what remains is encoded.
 
 Each stage takes (spark, docs, sf_dir) and returns a table, which is written as
 Parquet to the shared folder and read again as the next one's docs. All but the
-last keep the columns of documents.
+last keep the columns of documents, and extra columns, whatever their names.
+
+Defined results: a null or empty text is not toxic, has no near-duplicate and no
+benchmark passage, stays as it is and has no tokens; a row without an id goes
+through all stages on its own text; exact repeated rows of one id are all kept,
+as one document; an empty table gives an empty result; texts of any length are
+read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group."""
+    """The document of smallest id of each group; rows without an id stay, and so do repeated rows of a kept id."""
     tuned(spark)
     return near_dup.one_of_each(docs)
 
