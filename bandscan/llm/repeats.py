@@ -214,19 +214,20 @@ def shard_repeats(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarra
     lens = np.array([len(c) for c in contexts])
     text = np.zeros(lens.sum() + len(lens) + 1, np.uint8)  # UTF-8 has no bytes above 0xF7
     begin = np.cumsum(lens + 1) - lens - 1
-    where = np.repeat(begin, lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
-    text[where] = np.frombuffer(b"".join(contexts), np.uint8) + np.uint8(2)
+    body = np.ones(len(text), bool)
+    body[begin + lens] = body[-1] = False
+    text[body] = np.frombuffer(b"".join(contexts), np.uint8) + np.uint8(2)
     text[begin + lens] = 1
     sa = suffix_array(text, 256)
-    common = common_prefixes(text, sa, size)
-    own = np.searchsorted(begin, sa, "right") - 1
-    inside = sa + size <= begin[own] + lens[own]  # else the string runs over its context's end
-    joins = np.concatenate([(common[sa] >= size) & inside, [False]])
+    own = np.append(np.repeat(np.arange(len(lens), dtype=np.int32), lens + 1), np.int32(len(lens) - 1))
+    inside = np.arange(size, len(text) + size, dtype=np.int32) <= (begin + lens).astype(np.int32)[own]
+    # a string that runs over its context's end equals none inside, so only neighbours inside are compared
+    joins = np.append(common_prefixes(text, sa, size, inside)[sa] >= size, False)
     part = np.flatnonzero(joins[:-1] | joins[1:])  # in a run of suffixes with equal first `size` bytes
     if not len(part):
         return
     run = np.cumsum(~joins[part])
-    o = own[part]
+    o = own[sa[part]]
     start = lo[o] + sa[part] - begin[o]
     by = np.lexsort((start, tag[o], doc[o], run))
     o, start, run = o[by], start[by], run[by]
@@ -242,9 +243,11 @@ def shard_repeats(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarra
     fresh = np.concatenate([[True], (d[1:] != d[:-1]) | (t[1:] != t[:-1])])
     cut = np.flatnonzero(fresh | np.concatenate([[True], start[1:] > start[:-1] + 1]))
     last = np.concatenate([cut[1:], [len(o)]]) - 1
+    los, his = _blob(start[cut], "<i4"), _blob(start[last] + size, "<i4")
     group = np.flatnonzero(fresh[cut])
-    for a, z in zip(group, np.concatenate([group[1:], [len(cut)]])):
-        yield 1, int(d[cut[a]]), int(t[cut[a]]), 0, b"", _blob(start[cut[a:z]], "<i4"), _blob(start[last[a:z]] + size, "<i4")
+    ends = np.append(group[1:], len(cut))
+    for a, z, i, j in zip((4 * group).tolist(), (4 * ends).tolist(), d[cut[group]].tolist(), t[cut[group]].tolist()):
+        yield 1, i, j, 0, b"", los[a:z], his[a:z]
 
 
 def _sharded(batches: Iterator[pa.RecordBatch], size: int, shard: int) -> Iterator[pa.RecordBatch]:

@@ -22,9 +22,14 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     """Stable order of keys, the different keys, their counts, and each entry's place among equals."""
     order = np.argsort(keys, kind="stable")  # by radix for symbols of 8 or 16 bits
     k = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    count = np.diff(np.concatenate([first, [len(k)]]))
-    return order, k[first].astype(np.int64), count, np.arange(len(k)) - np.repeat(first, count)
+    edge = (k[1:] != k[:-1]).nonzero()[0]
+    edge += 1
+    first, count = np.empty((2, len(edge) + 1), np.int64)
+    first[0], first[1:] = 0, edge
+    count[:-1] = edge
+    count[-1] = len(k)
+    count -= first
+    return order, k[first].astype(np.int64), count, np.arange(len(k)) - first.repeat(count)
 
 
 def _next_open(now: np.ndarray, end: np.ndarray, c: int, step: int) -> int:
@@ -32,7 +37,7 @@ def _next_open(now: np.ndarray, end: np.ndarray, c: int, step: int) -> int:
     width = 64
     while 0 <= c < len(now):
         a, b = (c, min(len(now), c + width)) if step > 0 else (max(0, c - width + 1), c + 1)
-        open_ = np.flatnonzero(now[a:b] != end[a:b])
+        open_ = (now[a:b] != end[a:b]).nonzero()[0]
         if len(open_):
             return a + int(open_[0 if step > 0 else -1])
         c = b if step > 0 else a - 1
@@ -49,7 +54,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
     n, symbols = len(s), len(starts) - 1
     sa = np.full(n, -1, np.int32)
     order, keys, count, within = _ranks(s[lms])
-    sa[np.repeat(starts[keys + 1] - count, count) + within] = lms[order]
+    sa[(starts[keys + 1] - count).repeat(count) + within] = lms[order]
     head, full = starts[:-1].copy(), starts[:-1] + larger
     p, c = 0, 0
     while p < n:
@@ -60,18 +65,16 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
         j = j[~smaller[j]]
         if len(j):
             order, keys, count, within = _ranks(s[j])
-            sa[np.repeat(head[keys], count) + within] = j[order]
+            sa[head[keys].repeat(count) + within] = j[order]
             head[keys] += count
         if c < 0:
             break
         p = q
     mid = full
-    for_smaller = np.ones(n, bool)
-    for_smaller[0] = False
-    edge = np.zeros(n + 1, np.int64)
-    np.add.at(edge, starts[:-1], 1)
-    np.add.at(edge, mid, -1)
-    sa[for_smaller & (np.cumsum(edge)[:-1] == 0)] = -1  # slots of smaller suffixes, but the sentinel's
+    slots = np.stack([larger, np.diff(starts) - larger], 1).ravel()
+    for_smaller = np.repeat(np.arange(2 * symbols) % 2 == 1, slots)
+    for_smaller[0] = False  # the sentinel's
+    sa[for_smaller] = -1
     tail, empty = starts[1:].copy(), mid.copy()
     tail[0] = empty[0] = 0
     p, c = n, symbols - 1
@@ -83,7 +86,7 @@ def _induce(s: np.ndarray, smaller: np.ndarray, lms: np.ndarray, starts: np.ndar
         j = j[smaller[j]]
         if len(j):
             order, keys, count, within = _ranks(s[j])
-            sa[np.repeat(tail[keys], count) - 1 - within] = j[order]
+            sa[(tail[keys] - 1).repeat(count) - within] = j[order]
             tail[keys] -= count
         if c < 0:
             break
@@ -97,10 +100,9 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     if n == 1:
         return np.zeros(1, np.int32)
     s = s.astype(np.uint8 if symbols <= 1 << 8 else np.uint16 if symbols <= 1 << 16 else np.int32, copy=False)
-    change = np.flatnonzero(s[:-1] != s[1:])
-    nearest = change[np.minimum(np.searchsorted(change, np.arange(n - 1)), len(change) - 1)]
+    change = np.flatnonzero(s[:-1] != s[1:])  # ends with n - 2: the last symbol occurs once
     smaller = np.empty(n, bool)
-    smaller[:-1] = s[nearest] < s[nearest + 1]
+    smaller[:-1] = np.repeat(s[change] < s[change + 1], np.diff(change, prepend=-1))
     smaller[-1] = True
     lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     starts = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=symbols))])
@@ -117,12 +119,12 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
         same = size[a] == size[b]
         k = np.flatnonzero(same)
         lengths = size[a[k]]
-        at = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        off = np.arange(lengths.sum()) - at
-        x, y = np.repeat(a[k], lengths) + off, np.repeat(b[k], lengths) + off
+        begin = np.cumsum(lengths, dtype=np.int32) - lengths
+        off = np.arange(lengths.sum(), dtype=np.int32)
+        x, y = np.repeat(a[k] - begin, lengths) + off, np.repeat(b[k] - begin, lengths) + off
         unequal = (s[x] != s[y]) | (smaller[x] != smaller[y])
         if len(k):
-            same[k] = ~np.logical_or.reduceat(unequal, np.cumsum(lengths) - lengths)
+            same[k] = ~np.logical_or.reduceat(unequal, begin)
         names = np.concatenate([[0], np.cumsum(~same)])
         if names[-1] + 1 < len(lms):
             name_of = np.zeros(n, np.int32)
@@ -133,10 +135,11 @@ def suffix_array(s: np.ndarray, symbols: int) -> np.ndarray:
     return sa
 
 
-def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
+def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int, only: np.ndarray | None = None) -> np.ndarray:
     """Permuted: for each position, the length in common with the suffix sorted before it, at most cap.
 
-    s has one byte a symbol; eight of them are compared at a time.
+    s has one byte a symbol; eight of them are compared at a time. only: marks
+    positions; where it does not mark both suffixes, the length stays 0.
     """
     n = len(s)
     before = np.empty(n, np.int32)
@@ -144,7 +147,7 @@ def common_prefixes(s: np.ndarray, sa: np.ndarray, cap: int) -> np.ndarray:
     padded = np.concatenate([s.astype(np.uint8), np.zeros(cap + 16, np.uint8)])
     eight = np.ndarray((n + cap + 8,), "<u8", padded, strides=(1,))
     out = np.zeros(n, np.int32)
-    live = np.flatnonzero(before >= 0).astype(np.int32)
+    live = np.flatnonzero((before >= 0) if only is None else (before >= 0) & only & only[before]).astype(np.int32)
     other = before[live]
     for d in range(0, cap, 8):
         unlike = eight[live + d] ^ eight[other + d]
