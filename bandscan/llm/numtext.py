@@ -83,7 +83,7 @@ def word_spans(raw: np.ndarray, at: np.ndarray, apart: np.ndarray) -> tuple[np.n
     return start, end, np.searchsorted(start, at)
 
 
-def _keys(n: int) -> np.ndarray:
+def place_keys(n: int) -> np.ndarray:
     """An odd random multiplier for each place in a word."""
     global _KEYS
     if len(_KEYS) < n:
@@ -100,7 +100,7 @@ def words(raw: np.ndarray, at: np.ndarray, apart: np.ndarray, fold: np.ndarray =
     start, end, word_at = word_spans(raw, at, apart)
     if not len(start):
         return np.zeros(0, np.uint64), word_at
-    keys = _keys(int((end - start).max()))
+    keys = place_keys(int((end - start).max()))
     begin = np.zeros(len(raw), np.int32)
     begin[start] = start
     place = np.arange(len(raw), dtype=np.int32)

@@ -24,7 +24,8 @@ all bytes of the windows around it.
 4. The covered ranges meet their documents by id, and bytes are removed; other
    documents' texts are not shuffled while the ids of these may be broadcast.
 
-Hashes are 64 bits, compared within equal gram hashes. Apart from step 4's
+Hashes are 64 bits, compared within equal gram hashes; a window of step 3 is
+equal under two of them, one with a random multiplier for each place. Apart from step 4's
 join, no text is shuffled but for documents with asked contexts.
 
 Defined results: a null or empty text keeps nothing and loses nothing; a text
@@ -46,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bandscan.llm.common import by_batch, removed, shared_dir, stored
-from bandscan.llm.numtext import blocks, mix, prefix_sums, span_hash
+from bandscan.llm.numtext import blocks, mix, place_keys, prefix_sums, span_hash
 from bandscan.llm.numtext import BYTES as RANDOM
 from bandscan.llm.suffix_array import common_prefixes, suffix_array
 
@@ -192,19 +193,21 @@ def _resolved(packed: DataFrame, buckets: int, group: int | None) -> DataFrame:
 
 
 def _windows_packed(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Contexts (h, doc, tag, lo, ctx) to anchors that are whole windows."""
+    """Contexts (h, doc, tag, lo, ctx) to anchors that are whole windows, under two independent hashes."""
     for b in batches:
-        h, doc, tag, lo, raw = [], [], [], [], []
+        h, c, doc, tag, lo = [], [], [], [], []
         for _, d, t, start, ctx in zip(*(c.to_pylist() for c in b.columns)):
             k = np.arange(len(ctx) - size + 1)
             if len(k):
-                h.append(span_hash(prefix_sums(RANDOM[np.frombuffer(ctx, np.uint8)]), k, k + size))
+                values = RANDOM[np.frombuffer(ctx, np.uint8)]
+                h.append(span_hash(prefix_sums(values), k, k + size))
+                c.append(mix(np.lib.stride_tricks.sliding_window_view(values, size) @ place_keys(size)[:size]))
                 doc.append(np.full(len(k), d))
                 tag.append(np.full(len(k), t))
                 lo.append(k + start)
         if h:
-            h, doc, tag, lo = map(np.concatenate, (h, doc, tag, lo))
-            rows = list(_spread(h, mix(h), doc, tag, lo, lo, lo + size, buckets))
+            h, c, doc, tag, lo = map(np.concatenate, (h, c, doc, tag, lo))
+            rows = list(_spread(h, c, doc, tag, lo, lo, lo + size, buckets))
             if rows:
                 yield _packed(rows)
 

@@ -68,6 +68,25 @@ def test_matches_brute_force(spark, seed, options):
     assert sorted(map(tuple, got.collect())) == brute(rows, 100)
 
 
+@pytest.mark.parametrize("options", [{}, {"group": 2}])
+def test_regular_texts(spark, options):
+    """Texts of two letters, whose hashes by powers of one number could be equal."""
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = list(enumerate([word, other, word[:500] + other[500:], other + word, "c" + word[100:900], (word + other) * 2]))
+    got = repeat_digests(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+    assert sorted(map(tuple, got.collect())) == brute(rows, 100)
+
+
+def test_prefixes_of_marked_positions():
+    rng = np.random.default_rng(5)
+    s = np.append(rng.integers(1, 3, 300), 0)
+    sa = suffix_array(s, 3)
+    every, only = common_prefixes(s, sa, 9), rng.random(301) < 0.5
+    before = np.append(sa[-1], sa)[np.argsort(sa)]
+    assert (common_prefixes(s, sa, 9, only) == np.where(only & only[before] & (np.arange(301) != sa[0]), every, 0)).all()
+
+
 def test_edges(spark):
     empty = repeat_digests(spark.createDataFrame([], "doc_id long, text string"))
     assert empty.count() == 0
