@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,15 +52,33 @@ def console_report(pairs: DataFrame, rows: int = 20) -> str:
 SUMMARY_HEAD = ("", "", "---,SUMMARY STATISTICS,---", "Metric,Value,Unit")
 
 
+def _printed(rows: DataFrame, line: str) -> DataFrame:
+    """(place, value): the numbers of rows (place, numbers) in a line, null if one is missing.
+
+    Printed by their exact binary values, as C does; format_string rounds the
+    shortest decimal that stands for a number half up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = [None if None in v else line % tuple(v) for v in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values, pa.string())], names=["place", "value"])
+
+    return rows.select("place", "numbers").mapInArrow(run, f"place {rows.schema['place'].dataType.simpleString()}, value string")
+
+
 def power_lines(samples: DataFrame) -> DataFrame:
     """(place, value): the lines of a power log in order: header, positive readings (t, watts) by time, summary block."""
-    good = samples.where("watts > 0")
-    rows = good.select(F.struct(F.lit(1).alias("part"), F.col("t").cast("double").alias("t"), F.lit(0).alias("k")).alias("place"), F.format_string("%.2f,%.2f", F.col("t").cast("double"), F.col("watts").cast("double")).alias("value"))
-    facts = good.agg((F.max("t") - F.min("t")).cast("double").alias("d"), F.avg("watts").cast("double").alias("mean"), F.max("watts").cast("double").alias("peak")).where("d IS NOT NULL")
+    good = samples.where("watts > 0").select("t", F.col("t").cast("double").alias("s"), "watts", F.col("watts").cast("double").alias("w"))
+    place = lambda part, t, k: F.struct(F.lit(part).alias("part"), t.alias("t"), k.alias("k")).alias("place")
+    rows = _printed(good.select(place(1, F.col("s"), F.lit(0)), F.array("s", "w").alias("numbers")), "%.2f,%.2f")
+    facts = good.agg((F.max("t") - F.min("t")).cast("double").alias("d"), F.avg("watts").cast("double").alias("mean"), F.max("w").alias("peak")).where("d IS NOT NULL")
     last = [("Duration", "d", "s"), ("Average Power", "mean", "W"), ("Peak Power", "peak", "W"), ("Total Energy", "mean * d", "J")]
-    block = F.array(*[F.lit(x) for x in SUMMARY_HEAD], *[F.format_string(f"{name},%.4f,{unit}", F.expr(v)) for name, v, unit in last])
-    block = facts.select(F.posexplode(block).alias("k", "value")).select(F.struct(F.lit(2).alias("part"), F.lit(0.0).alias("t"), F.col("k").cast("int").alias("k")).alias("place"), "value")
-    head = samples.sparkSession.range(1).select(F.struct(F.lit(0).alias("part"), F.lit(0.0).alias("t"), F.lit(0).alias("k")).alias("place"), F.lit("Time_s,Power_W").alias("value"))
+    facts = facts.select(place(2, F.lit(0.0), F.lit(0)), F.array(*(F.expr(v) for _, v, _ in last)).alias("numbers"))
+    block = F.concat(F.array(*map(F.lit, SUMMARY_HEAD)), F.split("value", "\n"))
+    block = _printed(facts, "\n".join(f"{name},%.4f,{unit}" for name, _, unit in last)).select(F.posexplode(block).alias("k", "value"))
+    block = block.select(place(2, F.lit(0.0), F.col("k").cast("int")), "value")
+    head = samples.sparkSession.range(1).select(place(0, F.lit(0.0), F.lit(0)), F.lit("Time_s,Power_W").alias("value"))
     return head.unionAll(rows).unionAll(block)
 
 

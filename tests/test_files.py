@@ -79,6 +79,12 @@ def test_result_files(spark, tmp_path):
     assert lines[7:] == ["Duration,1.0300,s", "Average Power,15.7700,W", "Peak Power,18.6100,W", "Total Energy,16.2431,J"]
 
 
+def test_power_lines_print_exact_values(spark):
+    samples = [(1704096628.715, 66.78), (2.125, 0.285), (2.375, 1.005), (None, 3.0)]
+    lines = [r["value"] for r in results.power_lines(spark.createDataFrame(samples, "t double, watts double")).orderBy("place").collect()]
+    assert lines[0] == "Time_s,Power_W" and sorted(map(str, lines[1:5])) == sorted(["None", "2.12,0.28", "2.38,1.00", "1704096628.71,66.78"])
+
+
 def test_partition_files(spark, tmp_path):
     text = "".join(chr(97 + k % 26) for k in range(250))
     fasta.write_partitions(spark.createDataFrame([(1, text), (2, None), (3, "")], "text_id long, text string"), str(tmp_path / "cut"), longest=5, size=100)
