@@ -7,7 +7,7 @@ import pytest
 from bandscan.functions.metrics import METRICS, scores, summary
 from bandscan.plans import match as plan
 from bandscan.plans.chunking import chunk_size_by_memory, chunk_size_by_work, with_chunks, with_ratio_split
-from bandscan.plans.match import match, merged, reported, scanned
+from bandscan.plans.match import alike, match, merged, reported, scanned
 
 
 def data(spark, seed, alphabet="acgt"):
@@ -116,3 +116,16 @@ def test_a_short_text_needs_no_shuffle(spark):
     ps, ts, p, t = data(spark, 11)
     plan_text = scanned(p, t)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan_text
+
+
+def test_equal_texts_and_patterns(spark):
+    ps, ts = [(k, ("abc", "xyz")[k % 2]) for k in range(2500)], [(k, ("abcd", "b")[k % 2]) for k in (0, 1, 2, 3, 70_000, 70_001)]
+    p, t = spark.createDataFrame(ps, "pattern_id long, pattern string"), spark.createDataFrame(ts, "text_id long, text string")
+    want = {(i % 2, k % 2): tuple(r)[2:] for r in match(p.limit(2), t.limit(2)).collect() for i, k in [(r["pattern_id"], r["text_id"])]}
+    got = match(p, t).collect()
+    assert {(r["pattern_id"], r["text_id"]) for r in got} == {(i, k) for i, _ in ps for k, _ in ts} and len(got) == len(ps) * len(ts)
+    assert all(tuple(r)[2:] == want[r["pattern_id"] % 2, r["text_id"] % 2] for r in got)
+    # two texts in two ranges of ids, two patterns in two lists of 1,000 at most: few rows are scanned and dealt out
+    assert sorted(len(r["ids"]) for r in alike(t).collect()) == [1, 1, 2, 2]
+    plan = match(p, t)._jdf.queryExecution().toString()
+    assert "text" in plan and "REPARTITION_BY_NUM" in plan and "Generate explode" in plan
