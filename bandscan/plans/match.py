@@ -338,7 +338,8 @@ def _match_sql(patterns: DataFrame, texts: DataFrame, metric: str, anchor: str,
 
     whole = lambda t: sized(t).withColumn("start", F.lit(0).cast("long")).withColumn("own_len", F.col("n"))
     short, long = (texts.where(f"text IS NOT NULL AND char_length(text) {k} {SQL_PIECE}").select(F.col("text_id").cast("long").alias("text_id"), "text") for k in ("<=", ">"))
-    out = finished(named(parts(whole(short))))
+    lists = alike(patterns, "pattern_id", "pattern").withColumnRenamed("ids", "pattern_id")
+    out = _each(finished(named(parts(whole(alike(short).withColumnRenamed("ids", "text_id")), lists))))
     if anchor == "start":
         return [out, finished(named(parts(whole(long))))]
     return [out, finished(merged(parts(with_chunks(sized(long), "n", SQL_PIECE))))]

@@ -103,8 +103,7 @@ def test_pieces_equal_whole(spark):
 
 
 def test_chunks_of_a_long_text_are_dealt_out(spark):
-    from pyspark.sql import functions as F
-
+    
     ps, ts, p, t = data(spark, 11)
     long = spark.createDataFrame([(1, "acgt" * 500)], "text_id long, text string")
     parts = plan.chunk_matches(p, long, chunk=20)
@@ -129,3 +128,13 @@ def test_equal_texts_and_patterns(spark):
     assert sorted(len(r["ids"]) for r in alike(t).collect()) == [1, 1, 2, 2]
     plan = match(p, t)._jdf.queryExecution().toString()
     assert "text" in plan and "REPARTITION_BY_NUM" in plan and "Generate explode" in plan
+
+
+def test_equal_texts_in_sql(spark):
+    p = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "b")], "pattern_id long, pattern string")
+    t = spark.createDataFrame([(k, "abab" if k % 3 else "") for k in range(40)] + [(40, "ab" * 200), (41, None)], "text_id long, text string")
+    for options in ({}, {"anchor": "start"}, {"metric": "osa", "scores": True}):
+        want = sorted(map(str, match(p, t, unit="char", listed=True, **options).collect()))
+        scanned_sql = match(p, t, engine="sql", listed=True, **options)
+        assert sorted(map(str, scanned_sql.collect())) == want and len(want) == 3 * 41
+    assert "collect_list" in match(p, t, engine="sql")._jdf.queryExecution().toString().split("Union")[1]
