@@ -13,11 +13,12 @@ def compare_runs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each row of the left run with the right run's row of the same pair, and a flag for each field.
 
     Of several right rows of a pair the smallest counts. Lists are equal as
-    multisets; a missing list equals an empty one.
+    multisets; a missing list equals an empty one. Runs are merged, never
+    broadcast: what Spark estimates of a scan's output is far below its size.
     """
     packed = F.struct(*[F.col(c) for c in FIELDS])
     right = right.groupBy(*KEYS).agg(F.min(packed).alias("r"))
-    both = left.select(*KEYS, packed.alias("l")).join(right, list(KEYS), "left")
+    both = left.select(*KEYS, packed.alias("l")).join(right.hint("merge"), list(KEYS), "left")
     flags = []
     for c in FIELDS:
         a, b = F.col(f"l.{c}"), F.col(f"r.{c}")

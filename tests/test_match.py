@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bandscan.functions.metrics import METRICS, scores, summary
+from bandscan.operators import compare
 from bandscan.plans import match as plan
 from bandscan.plans.chunking import chunk_size_by_memory, chunk_size_by_work, with_chunks, with_ratio_split
 from bandscan.plans.match import alike, match, merged, reported, scanned
@@ -103,7 +105,8 @@ def test_pieces_equal_whole(spark):
 
 
 def test_chunks_of_a_long_text_are_dealt_out(spark):
-    
+    from pyspark.sql import functions as F
+
     ps, ts, p, t = data(spark, 11)
     long = spark.createDataFrame([(1, "acgt" * 500)], "text_id long, text string")
     parts = plan.chunk_matches(p, long, chunk=20)
@@ -138,3 +141,11 @@ def test_equal_texts_in_sql(spark):
         scanned_sql = match(p, t, engine="sql", listed=True, **options)
         assert sorted(map(str, scanned_sql.collect())) == want and len(want) == 3 * 41
     assert "collect_list" in match(p, t, engine="sql")._jdf.queryExecution().toString().split("Union")[1]
+
+
+def test_runs_are_not_broadcast(spark):
+    """A scan's output is far larger than Spark's estimate, which small inputs would have broadcast."""
+    p = spark.createDataFrame([(1, "ab"), (2, "b")], "pattern_id long, pattern string")
+    rows = match(p, p.select(F.col("pattern_id").alias("text_id"), F.col("pattern").alias("text"))).select(F.col("pattern_id").alias("query_file"), F.col("text_id").alias("ref_file"), *compare.FIELDS)
+    compared = compare.compare_runs(rows, rows)
+    assert "SortMergeJoin" in compared._jdf.queryExecution().executedPlan().toString() and compared.where("matched").count() == 4
