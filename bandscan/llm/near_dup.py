@@ -417,8 +417,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, level, small, groups = _roots(reps, 0, TREES), 0, [], []
     while True:
         nodes = stored(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1"), folder, f"nodes-{level}")
-        small.append(rows.join(nodes.where(F.col("m") <= bound).select("path"), "path"))
         large = nodes.where(F.col("m") > bound)
+        # most root nodes are single documents, which never reach a leaf; below, few are, and only large nodes are left out
+        small.append(rows.join(nodes.where(F.col("m") <= bound).select("path"), "path") if level == 0 else rows.join(large.select("path"), "path", "left_anti"))
         if large.isEmpty():
             break
         # tokens are joined once a level and stay with the rows
@@ -428,8 +429,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             tried = links.labelled(held.selectExpr(f"{part} AS path", "id", "short", "n"))
             links.add(_leaves(tried, kind, dense=False).select("a", "b"))
         labelled = stored(links.labelled(held.select("path", "id", "sig", "n")), folder, f"labelled-{level}")
-        still = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("path")
-        rows = stored(labelled.join(still, "path").select("path", "id", "sig", "n"), folder, f"open-{level}")
+        done = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("path")
+        rows = stored(labelled.join(done, "path", "left_anti").select("path", "id", "sig", "n"), folder, f"open-{level}")
         removed(spark, f"{folder}/large-{level}", f"{folder}/labelled-{level}")
         if level == depth:
             groups.append(rows.select(F.col("path").alias("grp"), "id", "n"))

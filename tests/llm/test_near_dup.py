@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from bandscan.llm import near_dup
 from bandscan.llm.near_dup import missed, near_duplicates
 
 
@@ -120,6 +121,15 @@ def test_a_hot_family_of_near_copies(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_levels_below_the_roots_are_not_joined_with_their_nodes(spark, monkeypatch):
+    """Only the root nodes' members are: a join a level made a large group's rows anew at each."""
+    plans, leaves = [], near_dup._leaves
+    monkeypatch.setattr(near_dup, "_leaves", lambda members, *a, **k: plans.append(members._jdf.queryExecution().analyzed().toString()) or leaves(members, *a, **k))
+    near_duplicates(spark.createDataFrame(tight_family(60, 0), "doc_id long, text string"), bound=10, depth=1)
+    # the roots' nodes, and what is known of each member
+    assert "LeftAnti" in plans[-1] and plans[-1].count("Join Inner") == 2
+
+
 def test_regular_words_do_not_collide(spark):
     """The Thue-Morse word over a and b and its complement, whose polynomial hashes modulo 2^64 are equal."""
     word = "a"
