@@ -311,6 +311,16 @@ def _leaves(members: DataFrame, kind: str, dense: bool = True) -> DataFrame:
     return dealt.select("path", "id", "comp", "short", "n").mapInArrow(run, f"a {kind}, b {kind}, ids array<{kind}>, ns array<bigint>")
 
 
+def _lists(rows: DataFrame) -> DataFrame:
+    """rows as one list an id (id, own), so that a join on id makes one row an id."""
+    return rows.groupBy("id").agg(F.collect_list(F.struct(*(c for c in rows.columns if c != "id"))).alias("own"))
+
+
+def _rows(lists: DataFrame) -> DataFrame:
+    """The rows of lists, each with its id's other columns."""
+    return lists.select(*(c for c in lists.columns if c != "own"), F.inline("own"))
+
+
 def _then_none(batches: Iterator) -> Iterator:
     yield from batches
     yield None
@@ -336,8 +346,7 @@ class _Links:
         """Links among all members of each of the groups (grp, id, n) whose members are not all connected, on full sets."""
         self.n += 1
         spark, percent, kind = self.docs.sparkSession, self.percent, groups.schema["id"].dataType.simpleString()
-        groups = self.labelled(groups)
-        still = groups.groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        still = _rows(self.labelled(_lists(groups))).groupBy("grp").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
         # a group beyond a slice's bounds is dealt to slices, and each two of these meet in a task
         slices = F.expr(f"cast(if(shingles <= {SLICE_SHINGLES} AND m <= {SLICE_MEMBERS}, 1, greatest(2, ceil(2 * shingles / {SLICE_SHINGLES}), ceil(2 * m / {SLICE_MEMBERS}))) AS int)")
         still = stored(still.select("grp", slices.alias("k")), self.folder, f"still-{self.n}")
@@ -354,7 +363,7 @@ class _Links:
             a, b = (ids.take(pa.array([x[k] for x in links], pa.int64())) for k in (0, 1))
             return pa.table({"a": a, "b": b})
 
-        found = dealt.join(self.sets, "id").select("grp", "cell", "id", "set").groupBy("grp", "cell").applyInArrow(run, f"a {kind}, b {kind}")
+        found = _rows(_lists(dealt).join(self.sets, "id")).groupBy("grp", "cell").applyInArrow(run, f"a {kind}, b {kind}")
         self._found(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
         removed(spark, f"{self.folder}/still-{self.n}", f"{self.folder}/dealt-{self.n}")
 
@@ -386,7 +395,7 @@ class _Links:
         removed(self.docs.sparkSession, f"{self.folder}/links-{self.n}", f"{self.folder}/across-{self.n}")
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """Adds each id's component so far."""
+        """Adds each id's component so far; rows: one an id."""
         if self.comps is None:
             return rows.withColumn("comp", F.col("id"))
         return rows.join(self.comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -422,13 +431,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         small.append(rows.join(nodes.where(F.col("m") <= bound).select("path"), "path") if level == 0 else rows.join(large.select("path"), "path", "left_anti"))
         if large.isEmpty():
             break
-        # tokens are joined once a level and stay with the rows
-        held = stored(rows.join(large, "path").join(reps.select("id", "sig", "short", "n"), "id"), folder, f"large-{level}")
-        for turn in range(TURNS):
-            part = f"xxhash64(path, {turn}, pmod(xxhash64(id, {level}, {turn}), ceil(2 * m / {bound})))"
-            tried = links.labelled(held.selectExpr(f"{part} AS path", "id", "short", "n"))
-            links.add(_leaves(tried, kind, dense=False).select("a", "b"))
-        labelled = stored(links.labelled(held.select("path", "id", "sig", "n")), folder, f"labelled-{level}")
+        # tokens are joined once a level and a document
+        held = stored(_lists(rows.join(large, "path").select("path", "id", "m")).join(reps.select("id", "sig", "short", "n"), "id"), folder, f"large-{level}")
+        parts = ", ".join(f"xxhash64(path, {turn}, pmod(xxhash64(id, {level}, {turn}), ceil(2 * m / {bound})))" for turn in range(TURNS))
+        tried = _rows(links.labelled(held.drop("sig"))).selectExpr(f"explode(array({parts})) AS path", "id", "comp", "short", "n")
+        links.add(_leaves(tried, kind, dense=False).select("a", "b"))
+        labelled = stored(_rows(links.labelled(held.drop("short"))).select("path", "id", "sig", "n", "comp"), folder, f"labelled-{level}")
         done = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("path")
         rows = stored(labelled.join(done, "path", "left_anti").select("path", "id", "sig", "n"), folder, f"open-{level}")
         removed(spark, f"{folder}/large-{level}", f"{folder}/labelled-{level}")
@@ -443,7 +451,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = small[0]
     for one in small[1:]:
         members = members.unionAll(one)
-    found = stored(_leaves(links.labelled(members).join(known, "id"), kind), folder, "leaves")
+    found = stored(_leaves(_rows(links.labelled(_lists(members.select("path", "id")).join(known, "id"))), kind), folder, "leaves")
     links.add(found.where("b IS NOT NULL").select("a", "b"))
     dense = found.where("ids IS NOT NULL").select(F.xxhash64("ids").alias("grp"), F.explode(F.arrays_zip("ids", "ns")).alias("m"))
     groups.append(dense.select("grp", F.col("m.ids").alias("id"), F.col("m.ns").alias("n")))

@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from bandscan.llm import components as components_of
 from bandscan.llm import near_dup
 from bandscan.llm.near_dup import missed, near_duplicates
 
@@ -130,6 +131,23 @@ def test_levels_below_the_roots_are_not_joined_with_their_nodes(spark, monkeypat
     assert "LeftAnti" in plans[-1] and plans[-1].count("Join Inner") == 2
 
 
+def test_documents_meet_their_components_once(spark, monkeypatch):
+    """Not once for each tree, node or group: a join on id makes one row an id."""
+    seen, labelled = [], near_dup._Links.labelled
+    monkeypatch.setattr(near_dup._Links, "labelled", lambda self, rows: seen.append(rows.groupBy("id").count().agg({"count": "max"}).first()[0]) or labelled(self, rows))
+    near_duplicates(spark.createDataFrame(tight_family(60, 20), "doc_id long, text string"), bound=10, depth=1)
+    assert set(seen) - {None} == {1}  # None: no rows
+
+
+def test_components_by_driver_and_by_rounds(spark, monkeypatch, tmp_path):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(500, 560)]
+    links = spark.createDataFrame([tuple(sorted(x)) for x in links if x[0] != x[1]], "a long, b long").cache()
+    here = sorted(map(tuple, components_of.components(links, f"file://{tmp_path}/a").collect()))
+    monkeypatch.setattr(components_of, "FEW_LINKS", 0)
+    assert here == sorted(map(tuple, components_of.components(links, f"file://{tmp_path}/b").collect()))
+
+
 def test_regular_words_do_not_collide(spark):
     """The Thue-Morse word over a and b and its complement, whose polynomial hashes modulo 2^64 are equal."""
     word = "a"
