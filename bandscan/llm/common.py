@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bandscan.sources.shared import removed, shared_dir
 
-__all__ = ["ARROW_BYTES", "ARROW_ROWS", "WORD_ALNUM", "WORD_SPACE", "ascii_lower", "by_batch", "removed", "shared_dir", "shuffle_parts", "stored", "table", "tuned"]
+__all__ = ["ARROW_BYTES", "ARROW_ROWS", "WORD_ALNUM", "WORD_SPACE", "ascii_lower", "by_batch", "given_back", "removed", "shared_dir", "shuffle_parts", "stored", "table", "tuned"]
 
 #: Rows of an Arrow batch between the JVM and Python; texts are a few kB, so a batch is a few MB.
 ARROW_ROWS, ARROW_BYTES = 2000, 16 << 20
@@ -51,6 +52,25 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def given_back(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """fn, after which freed memory goes back to the system: a worker keeps it otherwise while it waits and in all later tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        trim()
+
+    return run
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def by_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A mapInArrow function that works batch by batch and skips empty results."""
 

@@ -48,6 +48,11 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _powers(len(sums))[1][start])
 
 
+def width_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """span_hash of every span of `width` bytes, by start."""
+    return mix((sums[width:] - sums[:-width]) * _powers(len(sums))[1][: len(sums) - width])
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string column's bytes and the offsets of its values in them; null is empty."""
     column = (column.fill_null("") if column.null_count else column).cast(pa.large_string())

@@ -46,8 +46,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bandscan.llm.common import by_batch, removed, shared_dir, stored
-from bandscan.llm.numtext import blocks, mix, place_keys, prefix_sums, span_hash
+from bandscan.llm.common import by_batch, given_back, removed, shared_dir, stored, trim
+from bandscan.llm.numtext import blocks, mix, place_keys, prefix_sums, span_hash, width_hashes
 from bandscan.llm.numtext import BYTES as RANDOM
 from bandscan.llm.suffix_array import common_prefixes, suffix_array
 
@@ -74,12 +74,11 @@ def anchors(raw: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[np.n
     if n < size:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     sums = prefix_sums(RANDOM[raw])
-    i = np.arange(n - gram + 1)
-    h = span_hash(sums, i, i + gram) | np.uint64(1)
+    h = width_hashes(sums, gram)
+    h |= np.uint64(1)
     low = _slide(h, width, np.minimum)  # of the windows that start at 0 .. n - size
-    lens = np.diff(at)
-    end = np.repeat(at[1:], lens)
-    low[end[: len(low)] - np.arange(len(low)) < size] = 0  # windows that cross texts
+    cross = (at[1:-1, None] - np.arange(1, size)).ravel()
+    low[cross[(cross >= 0) & (cross < len(low))]] = 0  # windows that cross texts
     pad = np.zeros(width - 1, np.uint64)
     chosen = np.flatnonzero(_slide(np.concatenate([pad, low, pad]), width, np.maximum) == h)
     text = np.searchsorted(at, chosen, "right") - 1
@@ -189,7 +188,7 @@ def _resolved(packed: DataFrame, buckets: int, group: int | None) -> DataFrame:
         for k in range(0, len(rows), 20_000):
             yield _found(rows[k : k + 20_000])
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, FOUND)
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(given_back(run), FOUND)
 
 
 def _windows_packed(batches: Iterator[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -254,25 +253,33 @@ def shard_repeats(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, lo: np.ndarra
 
 
 def _sharded(batches: Iterator[pa.RecordBatch], size: int, shard: int) -> Iterator[pa.RecordBatch]:
-    """Contexts (h, doc, tag, lo, ctx), sorted by h, to FOUND rows; grams are never split between shards."""
+    """Contexts (h, doc, tag, lo, ctx), sorted by h, to FOUND rows.
+
+    Grams are never split between shards; only a gram that is larger by itself
+    makes a shard of more than `shard` bytes, in which there is nothing else.
+    """
     held: list[list] = [[], [], [], [], []]
-    total = 0
+    begin = total = of_gram = 0  # the last gram's first row; bytes of all, and of the last gram
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if held[0]:
-            rows = list(shard_repeats(*(np.array(x, np.int64) for x in held[:4]), held[4], size))
-            if rows:
-                yield _found(rows)
+    def flush(rows: list[list]) -> Iterator[pa.RecordBatch]:
+        if rows[0]:
+            out = list(shard_repeats(*(np.array(x, np.int64) for x in rows[:4]), rows[4], size))
+            if sum(map(len, rows[4])) > shard:
+                trim()
+            if out:
+                yield _found(out)
 
     for b in batches:
         for row in zip(*(c.to_pylist() for c in b.columns)):
-            if total >= shard and row[0] != held[0][-1]:
-                yield from flush()
-                held, total = [[], [], [], [], []], 0
+            if held[0] and row[0] != held[0][-1]:
+                begin, of_gram = len(held[0]), 0
             for x, v in zip(held, row):
                 x.append(v)
-            total += len(row[4])
-    yield from flush()
+            total, of_gram = total + len(row[4]), of_gram + len(row[4])
+            if begin and total > shard:
+                yield from flush([x[:begin] for x in held])
+                held, begin, total = [x[begin:] for x in held], 0, of_gram
+    yield from flush(held)
 
 
 def _merged(lo: np.ndarray, hi: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -302,7 +309,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 if len(h):
                     yield _packed(list(_spread(h, c, doc[first + text], tag[first + text], pos, lo, hi, buckets)))
 
-    found = stored(_resolved(long.mapInArrow(list_anchors, PACKED), buckets, group), folder, "found")
+    found = stored(_resolved(long.mapInArrow(given_back(list_anchors), PACKED), buckets, group), folder, "found")
     covered = [found.where("kind = 1")]
     asks = found.where("kind > 1").groupBy("doc", "tag").agg(F.collect_list(F.struct("kind", "h", "lo", "hi")).alias("asks"))
 
@@ -317,13 +324,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["kind", "h", "doc", "tag", "lo", "ctx"])
 
-    asked = long.join(asks, ["doc", "tag"]).select("doc", "tag", "text", "asks").mapInArrow(by_batch(fetch), "kind int, h long, doc long, tag long, lo long, ctx binary")
+    asked = long.join(asks, ["doc", "tag"]).select("doc", "tag", "text", "asks").mapInArrow(given_back(by_batch(fetch)), "kind int, h long, doc long, tag long, lo long, ctx binary")
     asked = stored(asked, folder, "asked")
     plain = ["h", "doc", "tag", "lo", "ctx"]
     shards = asked.where("kind = 2").select(*plain).repartition("h").sortWithinPartitions("h")
-    covered.append(stored(shards.mapInArrow(lambda it: _sharded(it, size, shard), FOUND), folder, "shards"))
+    covered.append(stored(shards.mapInArrow(given_back(lambda it: _sharded(it, size, shard)), FOUND), folder, "shards"))
     if not (deep := asked.where("kind = 3")).isEmpty():
-        packed = deep.select(*plain).mapInArrow(lambda it: _windows_packed(it, size, buckets), PACKED)
+        packed = deep.select(*plain).mapInArrow(given_back(lambda it: _windows_packed(it, size, buckets)), PACKED)
         covered.append(stored(_resolved(packed, buckets, None).where("kind = 1"), folder, "deep"))
     removed(spark, f"{folder}/asked")
     ranges = covered[0]
@@ -372,4 +379,4 @@ def _finished(docs: DataFrame, id_col: str, text_col: str, columns: dict, finish
         return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows), columns.values()))], names=[id_col, *columns])
 
     schema = ", ".join([f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}", *(f"{c} {t}" for c, (t, _) in columns.items())])
-    return repeated_spans(docs, id_col, text_col, **options).mapInArrow(by_batch(run), schema)
+    return repeated_spans(docs, id_col, text_col, **options).mapInArrow(given_back(by_batch(run)), schema)

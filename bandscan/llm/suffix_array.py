@@ -29,7 +29,9 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     count[:-1] = edge
     count[-1] = len(k)
     count -= first
-    return order, k[first].astype(np.int64), count, np.arange(len(k)) - first.repeat(count)
+    within = np.arange(len(k), dtype=np.int32)
+    within -= first.astype(np.int32).repeat(count)
+    return order, k[first].astype(np.int64), count, within
 
 
 def _next_open(now: np.ndarray, end: np.ndarray, c: int, step: int) -> int:

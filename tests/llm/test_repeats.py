@@ -4,8 +4,11 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from bandscan.llm import repeats
+from bandscan.llm.numtext import prefix_sums, span_hash, width_hashes
 from bandscan.llm.repeats import repeat_digests, without_repeats
 from bandscan.llm.suffix_array import common_prefixes, suffix_array
 
@@ -78,6 +81,26 @@ def test_regular_texts(spark, options):
     assert sorted(map(tuple, got.collect())) == brute(rows, 100)
 
 
+def test_shards_stay_within_their_size(monkeypatch):
+    """Only a gram that is larger by itself makes a larger shard, alone; nothing is left out."""
+    made = []
+    monkeypatch.setattr(repeats, "shard_repeats", lambda h, doc, tag, lo, contexts, size: made.append((h.tolist(), doc.tolist(), sum(map(len, contexts)))) or [])
+    grams = [1] * 4 + [2] * 5 + [3] * 30 + [4] + [5] * 6 + [6] * 9
+    rows = [(h, k, 0, 0, b"x" * 100) for k, h in enumerate(grams)]
+    names = ["h", "doc", "tag", "lo", "ctx"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[k : k + 7]]) for k in range(0, len(rows), 7)]
+    assert not list(repeats._sharded(iter(batches), 100, 1000))
+    assert [k for _, docs, _ in made for k in docs] == list(range(len(rows)))
+    assert [sorted(set(h)) for h, _, _ in made] == [[1, 2], [3], [4, 5], [6]]
+    assert all(total <= 1000 or len(set(h)) == 1 for h, _, total in made)
+
+
+def test_hashes_of_one_width():
+    sums = prefix_sums(np.random.default_rng(1).integers(0, 9, 500).astype(np.uint64))
+    at = np.arange(500 - 40 + 1)
+    assert (width_hashes(sums, 40) == span_hash(sums, at, at + 40)).all()
+
+
 def test_prefixes_of_marked_positions():
     rng = np.random.default_rng(5)
     s = np.append(rng.integers(1, 3, 300), 0)
