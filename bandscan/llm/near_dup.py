@@ -8,9 +8,12 @@ copies are never compared with each other.
 Trees of paths find candidates. At the root of each tree, each document
 branches on one of its 64 minwise tokens; documents that share it share a
 node. A node of up to `bound` members is a leaf: one task compares its members
-exhaustively by their tokens. A larger node's members are first dealt to leaves
-at random, twice; it is done if that connects them all (more comparisons could
-not change any component). Else its members branch on: each follows one further
+exhaustively by their tokens. Members of larger nodes are first dealt to leaves
+at random, each in its smallest ones, `DEALS` times a level whatever the number
+of its nodes. A node that this connects is done (more comparisons could not
+change any component); so is one in which up to half a leaf's members are
+outside the largest component: these meet slices of that component, and one
+another, in leaves. Else its members branch on: each follows one further
 token, and with a probability of 1/3 a second one, so that a pair of similarity
 0.75 has one common path a level to go on. Members of three or more large root
 nodes get further independent trees. Nodes that are still large at `depth` are
@@ -59,8 +62,8 @@ from bandscan.llm.numtext import FOLDED, blocks, mix, separators, words
 
 #: Trees of all documents, further trees of members of nodes that branch, minwise tokens, levels.
 TREES, MORE_TREES, TOKENS, DEPTH = 12, 24, 64, 24
-#: Large root nodes from which on a document gets further trees, and times that a large node's members are dealt at random to leaves.
-OFTEN, TURNS = 3, 2
+#: Large root nodes from which on a document gets further trees; times that a member is dealt at random to leaves of one large node, and of all together.
+OFTEN, TURNS, DEALS = 3, 2, 6
 #: Tokens in which a candidate agrees at least, and members of a leaf.
 AGREED, BOUND = 28, 2000
 #: Members of nodes whose pairs are listed without a matrix, and candidates a member in a group that is not dense.
@@ -414,6 +417,30 @@ def _branched(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(paths).alias("path"), "id")
 
 
+def _dealt(held: DataFrame, bound: int) -> DataFrame:
+    """(path, id, comp, short, n): random leaves of large nodes, for documents held (id, own of (path, m), comp, short, n).
+
+    DEALS rows a document at most: one for each node would grow with the levels and trees that a large group takes.
+    Smaller nodes come first, as a group is less spread in them, and all of its members choose much the same ones.
+    """
+    nodes = "array_sort(transform(own, x -> struct(x.m, x.path)))"
+    parts = ", ".join(f"transform({nodes}, x -> xxhash64(x.path, {turn}, pmod(xxhash64(id, x.path, {turn}), ceil(2 * x.m / {bound}))))" for turn in range(TURNS))
+    return held.selectExpr(f"explode(slice(concat({parts}), 1, {DEALS})) AS path", "id", "comp", "short", "n")
+
+
+def _closing(labelled: DataFrame, bound: int) -> DataFrame:
+    """(path, top, slices, rest) of nodes of few members outside their largest component: that one, its slices, and the others' number."""
+    of_comp = labelled.groupBy("path", "comp").agg(F.count("*").alias("c"))
+    by_node = of_comp.groupBy("path").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("t"))
+    return by_node.where(f"2 * (m - t.c) <= {bound}").selectExpr("path", "t.comp AS top", f"ceil(2 * t.c / {bound}) AS slices", "m - t.c AS rest")
+
+
+def _closed(labelled: DataFrame, closing: DataFrame) -> DataFrame:
+    """(path, id): leaves in which all members outside a closing node's largest component meet all members."""
+    cells = "if(comp = top, array(pmod(xxhash64(id, path), slices)), sequence(0, slices - 1))"
+    return labelled.join(closing.where("rest > 0"), "path").selectExpr("path", "id", f"explode({cells}) AS cell").selectExpr("xxhash64(path, 4, cell) AS path", "id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bound: int = BOUND, depth: int = DEPTH) -> DataFrame:
     """(id, n_shingles, component_id, kept) for each document."""
     spark, folder = docs.sparkSession, shared_dir(docs.sparkSession)
@@ -433,12 +460,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         # tokens are joined once a level and a document
         held = stored(_lists(rows.join(large, "path").select("path", "id", "m")).join(reps.select("id", "sig", "short", "n"), "id"), folder, f"large-{level}")
-        parts = ", ".join(f"xxhash64(path, {turn}, pmod(xxhash64(id, {level}, {turn}), ceil(2 * m / {bound})))" for turn in range(TURNS))
-        tried = _rows(links.labelled(held.drop("sig"))).selectExpr(f"explode(array({parts})) AS path", "id", "comp", "short", "n")
-        links.add(_leaves(tried, kind, dense=False).select("a", "b"))
+        links.add(_leaves(_dealt(links.labelled(held.drop("sig")), bound), kind, dense=False).select("a", "b"))
         labelled = stored(_rows(links.labelled(held.drop("short"))).select("path", "id", "sig", "n", "comp"), folder, f"labelled-{level}")
-        done = labelled.groupBy("path").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo = hi").select("path")
-        rows = stored(labelled.join(done, "path", "left_anti").select("path", "id", "sig", "n"), folder, f"open-{level}")
+        closing = stored(_closing(labelled, bound), folder, f"closing-{level}")
+        small.append(stored(_closed(labelled, closing), folder, f"closed-{level}"))
+        rows = stored(labelled.join(closing.select("path"), "path", "left_anti").select("path", "id", "sig", "n"), folder, f"open-{level}")
         removed(spark, f"{folder}/large-{level}", f"{folder}/labelled-{level}")
         if level == depth:
             groups.append(rows.select(F.col("path").alias("grp"), "id", "n"))
@@ -464,7 +490,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     else:
         tops = tops.select("d1", "d2", F.col("id").alias("component_id"))
     tops = stored(tops, folder, "tops")
-    removed(spark, f"{folder}/reps", f"{folder}/leaves", *(f"{folder}/{what}-{k}" for k in range(level + 1) for what in ("nodes", "open", "rows")), *(f"{folder}/{what}-{k}" for k in range(1, links.n + 1) for what in ("sets", "comps")))
+    removed(spark, f"{folder}/reps", f"{folder}/leaves", *(f"{folder}/{what}-{k}" for k in range(level + 1) for what in ("nodes", "closing", "closed", "open", "rows")), *(f"{folder}/{what}-{k}" for k in range(1, links.n + 1) for what in ("sets", "comps")))
     out = sigs.select("id", "n", "d1", "d2").join(tops, ["d1", "d2"], "left")
     comp = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(F.col("id") == comp, F.lit(True)).alias("kept"))

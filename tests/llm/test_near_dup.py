@@ -139,6 +139,35 @@ def test_documents_meet_their_components_once(spark, monkeypatch):
     assert set(seen) - {None} == {1}  # None: no rows
 
 
+def test_random_deals_do_not_grow_with_trees_and_levels(spark, monkeypatch):
+    """A document is dealt a fixed number of times a level, not twice for each of its large nodes, of which a large group has more at each level."""
+    dealt, leaves = [], near_dup._leaves
+
+    def seen(members, kind, dense=True):
+        if not dense:
+            dealt.append(members.groupBy("id").count().agg({"count": "max"}).first()[0])
+        return leaves(members, kind, dense)
+
+    monkeypatch.setattr(near_dup, "_leaves", seen)
+    got = near_duplicates(spark.createDataFrame(tight_family(60, 20), "doc_id long, text string"), bound=10, depth=2).collect()
+    assert len(dealt) == 3 and max(x for x in dealt if x) <= 6
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(i, i - 60 if i >= 60 else i) for i in range(80)]
+
+
+def test_few_members_beside_a_large_component_end_a_node(spark):
+    """Each of them meets all members in leaves, and the large component's members one leaf each; a node with more of them stays open."""
+    rows = [(1, i, 0 if i < 90 else i) for i in range(100)] + [(2, i, 0 if i < 10 else i) for i in range(100)] + [(3, i, 0) for i in range(100)]
+    labelled = spark.createDataFrame(rows, "path long, id long, comp long")
+    closing = near_dup._closing(labelled, 40)
+    assert sorted((r["path"], r["top"], r["rest"]) for r in closing.collect()) == [(1, 0, 10), (3, 0, 0)]
+    leaves = {}
+    for path, i in near_dup._closed(labelled, closing).collect():
+        leaves.setdefault(path, []).append(i)
+    met = {(a, b) for x in leaves.values() for a in x for b in x if a < b}
+    assert met >= {(a, b) for b in range(90, 100) for a in range(b)}
+    assert sum(map(len, leaves.values())) == 90 + 10 * len(leaves) and 2 <= len(leaves) <= 5
+
+
 def test_components_by_driver_and_by_rounds(spark, monkeypatch, tmp_path):
     rng = random.Random(2)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(500, 560)]
