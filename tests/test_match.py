@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from bandscan.operators import compare
 from bandscan.plans import match as plan
 from bandscan.plans import queries
 from bandscan.plans.chunking import chunk_size_by_memory, chunk_size_by_work, with_chunks, with_ratio_split
-from bandscan.plans.match import alike, match, merged, reported, scanned
+from bandscan.plans.match import alike, gathered, match, merged, reported, scanned
 
 
 def data(spark, seed, alphabet="acgt"):
@@ -134,6 +135,38 @@ def test_equal_texts_and_patterns(spark):
     assert "text" in plan and "REPARTITION_BY_NUM" in plan and "Generate explode" in plan
 
 
+def test_a_rare_text_is_scanned_once_for_many_ranges(spark, monkeypatch):
+    ts = [(k * plan.RANGE + i, "abcd") for k in range(5) for i in range(3 if k == 2 else 1)] + [(plan.SPAN + 1, "abcd"), (7, "b"), (-1, "b")]
+    t = spark.createDataFrame(ts, "text_id long, text string")
+    assert sorted(len(r["ids"]) for r in gathered(alike(t)).collect()) == [1, 1, 1, 7]
+    monkeypatch.setattr(plan, "FEW", 3)
+    got = gathered(alike(t)).collect()
+    assert sorted(len(r["ids"]) for r in got) == [1, 1, 1, 3, 4] and sorted((i, r["text"]) for r in got for i in r["ids"]) == sorted(ts)
+    p = spark.createDataFrame([(1, "bc"), (2, "bc"), (3, "x")], "pattern_id long, pattern string")
+    assert rows(match(p, t)) == expected([tuple(r) for r in p.collect()], ts) and match(p, t).count() == 3 * len(ts)
+
+
+def test_rows_of_lists_stand_for_a_bounded_number_of_pairs(monkeypatch):
+    monkeypatch.setattr(plan, "PAIRS", 12)
+    monkeypatch.setattr(plan, "BATCH_IDS", 40)
+    kind = pa.list_(pa.int64())
+    patterns, texts = pa.array([[1, 2, 3, 4], [5]], kind), pa.array([[0], list(range(100, 150)), [7, 8, 9], [10, 11, 12, 13]], kind).slice(1)
+    scan = pa.RecordBatch.from_arrays([pa.array([0, 0, 1, 1, 1]), pa.array([0, 1, 0, 1, 2]), pa.array(list("abcde"))], names=["pattern_id", "text_id", "x"])
+    got = [r for b in plan._with_ids(scan, (patterns, texts)) for r in b.to_pylist()]
+    assert max(len(r["pattern_id"]) * len(r["text_id"]) for r in got) == 12
+    pairs = sorted((i, k, r["x"]) for r in got for i in r["pattern_id"] for k in r["text_id"])
+    assert pairs == sorted((i, k, x["x"]) for x in scan.to_pylist() for i in patterns[x["pattern_id"]].as_py() for k in texts[x["text_id"]].as_py())
+
+
+def test_a_count_of_pairs_makes_no_rows(spark):
+    """Below a union each row would be copied; above it, they are counted within the loop over the lists."""
+    ps, ts, p, t = data(spark, 12)
+    counted = match(p, t, listed=True).groupBy().count()
+    steps = counted._jdf.queryExecution().optimizedPlan().toString()
+    assert steps.split("Union")[0].count("Generate explode") == 2
+    assert counted.first()[0] == len(expected(ps, ts))
+
+
 def test_equal_texts_in_sql(spark):
     p = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "b")], "pattern_id long, pattern string")
     t = spark.createDataFrame([(k, "abab" if k % 3 else "") for k in range(40)] + [(40, "ab" * 200), (41, None)], "text_id long, text string")
